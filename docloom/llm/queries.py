@@ -132,8 +132,8 @@ def oracle_sql() -> dict[str, str]:
         "op1_embedding_near_dedup": """
             WITH RECURSIVE v AS (
               SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
-              WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-                AND len(list_filter(embedding, x -> x <> 0)) > 0),
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
             links AS (
               SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
               WHERE list_cosine_similarity(a.e, b.e) >= 0.9),

@@ -23,21 +23,16 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(h: str) -> Column:
-    """Masked hashes of all windows of the array h: those of the first mask, then the next."""
-    picked = [", ".join(f"{h}[i + {k}]" if k else f"{h}[i]" for k in mask) for mask in MASKS]
-    return F.expr(
-        "concat(" + ", ".join(f"transform(sequence(0, size({h}) - {SPAN}), i -> xxhash64({m}, {j}))" for j, m in enumerate(picked)) + ")"
-    )
-
-
 def _places(df: DataFrame, h: str, keep: list[str]) -> DataFrame:
-    """A row for each seed: seed, at (the window's first word) and the columns to keep."""
-    return (
-        df.filter(F.size(h) >= SPAN)
-        .select(*keep, (F.size(h) - (SPAN - 1)).alias("windows"), F.posexplode(_seeds(h)).alias("k", "seed"))
-        .select(*keep, "seed", F.expr("cast(k % windows as int)").alias("at"))
-    )
+    """A row for each seed: seed, at (the window's first word) and the columns to keep.
+
+    The words of a window stand side by side after shifted copies of the array are zipped, so
+    hashing and the join run in generated code and not in a lambda for each word.
+    """
+    shifted = ", ".join(f"slice({h}, {k + 1}, size({h}) - {SPAN - 1})" for k in range(SPAN))
+    wide = df.filter(F.size(h) >= SPAN).select(*keep, F.expr(f"posexplode(arrays_zip({shifted}))").alias("at", "z"))
+    seeds = [F.xxhash64(*[F.col("z")[str(k)] for k in mask], F.lit(j)) for j, mask in enumerate(MASKS)]
+    return wide.select(*keep, "at", F.explode(F.array(*seeds)).alias("seed"))
 
 
 def find_overlaps(
@@ -61,6 +56,12 @@ def find_overlaps(
     benchmark or table of documents gives no overlap or no rows. Items with equal words count as the one with
     the smallest id. Other columns are not read.
     """
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
+    return _verified(base, benchmark, item_col, item_text_col, broadcast_seeds, "doc_id", "_text").drop("_text")
+
+
+def _verified(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, broadcast_seeds: int, id_col: str, text_col: str) -> DataFrame:
+    """docs with contaminated, items, n_overlaps and similarity."""
     items = cut(
         benchmark.select(F.col(item_col).cast("long").alias("item"), word_hashes(F.col(item_text_col)).alias("ih"))
         .filter("item is not null")
@@ -70,18 +71,23 @@ def find_overlaps(
     )
     seeds = cut(_places(items, "ih", ["item"]).withColumnRenamed("at", "item_at").distinct(), "seeds")
     n_seeds = seeds.count()
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if not n_seeds:
-        return base.select("doc_id", *_none())
+        return docs.select(
+            *docs.columns, F.lit(False).alias("contaminated"), F.array().cast("array<long>").alias("items"), F.lit(0).cast("long").alias("n_overlaps"), F.lit(0.0).alias("similarity")
+        )
     few = F.broadcast if n_seeds <= broadcast_seeds else lambda df: df
-    places = _places(base.filter("doc_id is not null").select("doc_id", word_hashes(F.col("text")).alias("h")), "h", ["doc_id"])
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), word_hashes(F.col(text_col)).alias("h")).filter("_id is not null")
     hits = (
-        places.join(few(seeds), "seed")
-        .groupBy("doc_id", "item", F.expr("at - item_at").alias("distance"))
+        _places(rows, "h", ["_id"])
+        .join(few(seeds), "seed")
+        .groupBy("_id", "item", F.expr("at - item_at").alias("distance"))
         .agg(F.count("*").alias("n"))
+        .join(few(items), "item")
+        .groupBy("_id")
+        .agg(F.collect_list(F.struct("item", "distance", "ih")).alias("hits"))
     )
-    hits = hits.join(few(items), "item").groupBy("doc_id").agg(F.collect_list(F.struct("item", "distance", "ih")).alias("hits"))
-    hits = cut(hits, "hits")
+    # A hash join of texts to a table that grows with them: always by shuffle, so the cost stays in proportion.
+    hits = cut(hits, "hits").hint("merge")
     # Where the aligned words of a hit agree, from the first aligned word on.
     scored = """
         transform(hits, x -> named_struct('item', x.item, 'agree',
@@ -94,31 +100,23 @@ def find_overlaps(
                 s -> aggregate(slice(x.agree, s + 1, {WINDOW}), 0, (a, b) -> a + b))) / cast(least({WINDOW}, size(x.agree)) as double)))
     """
     verified = (
-        base.join(hits, "doc_id", "left")
-        .withColumn("h", F.when(F.col("hits").isNotNull(), word_hashes(F.col("text"))))
+        docs.join(hits, docs[id_col].cast("long") == hits["_id"], "left")
+        .withColumn("h", F.when(F.col("hits").isNotNull(), word_hashes(F.col(text_col))))
         .withColumn("hits", F.expr(f"filter(hits, x -> least(size(x.ih), size(h) - x.distance) - greatest(0, -x.distance) >= {SPAN})"))
         .withColumn("scored", F.expr(scored))
         .withColumn("best", F.expr(f"filter({best}, x -> x.share >= {SIMILARITY})"))
     )
     return verified.select(
-        "doc_id",
+        *[docs[c] for c in docs.columns],
         F.coalesce(F.expr("size(best) > 0"), F.lit(False)).alias("contaminated"),
-        F.coalesce(F.expr("array_sort(array_distinct(transform(best, x -> x.item)))"), F.lit([]).cast("array<long>")).alias("items"),
+        F.coalesce(F.expr("array_sort(array_distinct(transform(best, x -> x.item)))"), F.array().cast("array<long>")).alias("items"),
         F.coalesce(F.expr("cast(size(best) as long)"), F.lit(0).cast("long")).alias("n_overlaps"),
         F.coalesce(F.expr("array_max(transform(best, x -> x.share))"), F.lit(0.0)).alias("similarity"),
     )
 
 
-def _none() -> list[Column]:
-    return [
-        F.lit(False).alias("contaminated"),
-        F.array().cast("array<long>").alias("items"),
-        F.lit(0).cast("long").alias("n_overlaps"),
-        F.lit(0.0).alias("similarity"),
-    ]
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that overlap the benchmark; all columns stay."""
-    dirty = cut(find_overlaps(docs, benchmark, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias("_dirty")).distinct(), "dirty")
-    return docs.join(dirty, docs[id_col].cast("long") == dirty["_dirty"], "left_anti")
+    bare = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"), F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("_rest"))
+    found = _verified(bare, benchmark, "item_id", "text", BROADCAST_SEEDS, "_doc", "_text").filter(~F.col("contaminated"))
+    return found.select(*[F.col("_text").alias(c) if c == text_col else F.col("_rest")[c].alias(c) for c in docs.columns])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +30,26 @@ PATTERNS = (
     ("vague_stated_duration", "duration", "time", rf"\bfor\s+[0-9]+\s+{_TIME}\b|\b[0-9]+\s+{_TIME}\s+(?:have\s+)?elapsed\b"),
 )
 
+#: Words of which a text must hold one for the pattern to match; they spare most texts the pattern itself.
+KEYWORDS = {
+    "vague_duration": ("certain", "while", "after", "shortly", "briefly"),
+    "vague_extreme": ("too",),
+    "vague_limit": ("limit",),
+    "vague_distance": ("nearby", "vicinity", "distance"),
+    "vague_frequency": ("periodically", "from", "occasionally"),
+    "vague_few_duration": ("few",),
+    "vague_certain_quantity": ("certain",),
+    "vague_speed": ("speed",),
+    "vague_repeatedly": ("repeatedly",),
+    "vague_certain_count": ("certain",),
+    "vague_stated_duration": ("for", "elapsed"),
+}
+
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str, words: tuple[str, ...] = (), lowered: Column | None = None) -> Column:
     """array<struct<at int, hit string>>: non-overlapping matches and where they start.
 
-    The starts come from the lengths of the pieces between the matches.
+    Texts whose lower-cased form holds none of the words (if given) match nothing. The starts come from the lengths of the pieces between the matches.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
@@ -47,13 +64,15 @@ def matches(text: Column, pattern: str) -> Column:
         ),
         lambda acc: acc["out"],
     )
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<at:int,hit:string>>"))
+    low = F.lower(text) if lowered is None else lowered
+    held = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words], F.lit(not words))
+    return F.when(held & text.rlike(pattern), found).otherwise(F.array().cast("array<struct<at:int,hit:string>>"))
 
 
-def _found(text: Column, no: int, name: str, kind: str, hint: str | None, pattern: str) -> Column:
+def _found(text: Column, lowered: Column, no: int, name: str, kind: str, hint: str | None, pattern: str) -> Column:
     """Matches of one pattern with what is known of it."""
     return F.transform(
-        matches(text, "(?i)" + pattern),
+        matches(text, "(?i)" + pattern, KEYWORDS[name], lowered),
         lambda m: F.struct(
             F.lit(no).alias("pattern_no"), F.lit(name).alias("pattern_id"), F.lit(kind).alias("kind"), F.lit(hint).cast("string").alias("hint"), m["at"].alias("at"), m["hit"].alias("matching_text")
         ),
@@ -67,8 +86,9 @@ def detect(rows: DataFrame, text: str = "text", source: str = "source") -> DataF
     number in parentheses anywhere does too, kept with its unit. All patterns are tried
     in one pass over a row and nothing is shuffled.
     """
-    found = [_found(F.col(text), k, *rule) for k, rule in enumerate(PATTERNS)]
-    df = rows.withColumn("_m", F.explode(F.flatten(F.array(*found))))
+    found = [_found(F.col(text), F.col("_low"), k, *rule) for k, rule in enumerate(PATTERNS)]
+    # A plain explode would add a filter on the array, which is pushed down and finds all matches a second time.
+    df = rows.withColumn("_low", F.lower(text)).withColumn("_m", F.explode_outer(F.flatten(F.array(*found)))).filter("_m is not null")
     df = df.select(*rows.columns, "_m.*")
     start = F.greatest(F.col("at") - WINDOW, F.lit(0))
     stop = F.least(F.col("at") + F.length("matching_text") + WINDOW, F.length(text))

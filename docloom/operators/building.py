@@ -26,10 +26,8 @@ def attach_orphans(lines: DataFrame, top: str = "top") -> DataFrame:
     """
     w = W.partitionBy(*KEY).orderBy("page", top, "line_no")
     df = lines.withColumns({"_o": F.col("text").rlike(ORPHAN), "_i": F.row_number().over(w)})
-    # Orphans at odd places of their run take the next line, orphan or not.
-    runs = W.partitionBy(*KEY, "_o").orderBy("page", top, "line_no")
-    df = df.withColumn("_run", F.col("_i") - F.row_number().over(runs))
-    df = df.withColumn("_k", F.row_number().over(W.partitionBy(*KEY, "_o", "_run").orderBy("_i")))
+    # Orphans at odd places of their run take the next line, orphan or not. The place counts from the last other line.
+    df = df.withColumn("_k", F.col("_i") - F.coalesce(F.max(F.when(~F.col("_o"), F.col("_i"))).over(w), F.lit(0)))
     takes = F.col("_o") & (F.col("_k") % 2 == 1) & F.lead("text").over(w).isNotNull()
     df = df.withColumns({"_takes": takes, "_next": F.lead("text").over(w)})
     df = df.withColumn("_taken", F.coalesce(F.lag("_takes").over(w), F.lit(False)))
@@ -57,9 +55,10 @@ def split_lines(lines: DataFrame, prefixes: tuple[str, ...] = (), top: str = "to
     df = df.withColumns({"is_step": F.col("t").rlike(STEP) & ~head, "is_heading": head})
     loose = F.col("t").rlike(rf"^[{BULLETS}]") | F.col("t").rlike(r"^u(?=[A-Z])") | F.col("is_heading")
     near = (F.lag("page").over(w) == F.col("page")) & (F.col(top) - F.lag(top).over(w) <= GAP)
-    opens = (F.col("is_step") | loose | ~F.coalesce(near, F.lit(False))).cast("int")
-    df = df.withColumn("island", F.sum(opens).over(w))
-    return df.withColumn("in_step", F.max(F.col("is_step").cast("int")).over(W.partitionBy(*KEY, "island")) == 1)
+    df = df.withColumn("_opens", F.col("is_step") | loose | ~F.coalesce(near, F.lit(False)))
+    # A step opens its island, so the last line that opened one tells what the island is.
+    head_is_step = F.last(F.when(F.col("_opens"), F.col("is_step")), ignorenulls=True).over(w)
+    return df.withColumns({"island": F.sum(F.col("_opens").cast("int")).over(w), "in_step": head_is_step}).drop("_opens")
 
 
 def steps(split: DataFrame, top: str = "top") -> DataFrame:
@@ -100,14 +99,16 @@ def split_bullets(text: Column) -> Column:
 def next_steps(groups: DataFrame, step_rows: DataFrame) -> DataFrame:
     """groups with next_step_text: the first step strictly after (page, top) in the section (BLD-5).
 
-    Both are put in one order and the step carried backwards, so no pairs are formed.
+    Both are put in one order and the step carried backwards, so no pairs are formed and each side is read once.
     """
-    a = groups.select(*KEY, "page", "top", "group_no", F.lit(None).cast("string").alias("step_text"), F.lit(None).cast("int").alias("step_no"))
-    b = step_rows.select(*KEY, "page", "top", F.lit(None).cast("int").alias("group_no"), F.col("text").alias("step_text"), "step_no")
+    rest = [c for c in groups.columns if c not in (*KEY, "page", "top", "group_no")]
+    a = groups.select(*KEY, "page", "top", "group_no", *rest, F.lit(None).cast("string").alias("step_text"), F.lit(None).cast("int").alias("step_no"))
+    empty = [F.lit(None).cast(groups.schema[c].dataType).alias(c) for c in rest]
+    b = step_rows.select(*KEY, "page", "top", F.lit(None).cast("int").alias("group_no"), *empty, F.col("text").alias("step_text"), "step_no")
     # A step at the same place is not after the group: it stands before it in this order.
     w = W.partitionBy(*KEY).orderBy("page", "top", F.col("group_no").isNotNull(), "step_no").rowsBetween(1, W.unboundedFollowing)
     both = a.unionByName(b).withColumn("next_step_text", F.first("step_text", ignorenulls=True).over(w))
-    return groups.join(both.filter("group_no is not null").select(*KEY, "group_no", "next_step_text"), [*KEY, "group_no"], "left")
+    return both.filter("group_no is not null").select(*groups.columns, "next_step_text")
 
 
 def requirements(groups: DataFrame, titles: DataFrame, offset: int = 1, citations: DataFrame | None = None) -> DataFrame:

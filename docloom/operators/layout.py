@@ -66,8 +66,14 @@ def _place() -> list[Column]:
 
 
 def drop_margin_glyphs(lines: DataFrame, pages: int = GLYPH_PAGES) -> DataFrame:
-    keyed = lines.withColumns({"top10": F.bround("top", 1), "x10": F.bround("x0", 1), "norm": normalise(F.col("text"))})
-    return keyed.join(margin_glyph_keys(lines, pages), ["manual_id", "top10", "x10", "norm"], "left_anti").select(*lines.columns)
+    """Lines whose text does not stand at one place on several pages (FLT-4).
+
+    Pages are counted by rank over a window, so the lines are read once and stay where their manual is.
+    """
+    place = W.partitionBy("manual_id", "_top", "_x", "_norm")
+    keyed = lines.withColumns({"_top": F.bround("top", 1), "_x": F.bround("x0", 1), "_norm": normalise(F.col("text"))})
+    ranked = keyed.withColumn("_page", F.dense_rank().over(place.orderBy("page"))).withColumn("_pages", F.max("_page").over(place))
+    return ranked.filter((F.col("_norm") == "") | (F.col("_pages") < pages) | F.col("_norm").isNull()).select(*lines.columns)
 
 
 def column_boundaries(lines: DataFrame, by: tuple[str, ...] = ("manual_id", "page"), gap: float = COLUMN_GAP) -> DataFrame:
@@ -88,10 +94,14 @@ def order_by_columns(lines: DataFrame, columns: int = 2, sidebars: bool = False)
         lines = drop_margin_glyphs(lines)
     elif not sidebars:
         return lines.withColumn("read_top", F.col("top"))
-    joined = lines.join(column_boundaries(lines).select("manual_id", "page", "boundary"), ["manual_id", "page"], "left")
+    w = W.partitionBy("manual_id", "page")
+    by_x = w.orderBy("x0", "line_no")
+    joined = lines.withColumns({"_next": F.lead("x0").over(by_x), "_i": F.row_number().over(by_x)})
+    gap = F.struct((F.col("_next") - F.col("x0")).alias("gap"), "_i", "x0", "_next")
+    joined = joined.withColumn("_m", F.max(F.when(F.col("_next").isNotNull(), gap)).over(w))
+    joined = joined.withColumn("boundary", F.when(F.col("_m.gap") >= COLUMN_GAP, (F.col("_m.x0") + F.col("_m._next")) / 2))
     if columns <= 1:
         left = F.col("x0") < F.col("boundary")
-        w = W.partitionBy("manual_id", "page")
         side = lambda cond, f: f(F.when(cond, F.col("top"))).over(w)
         overlap = F.least(side(left, F.max), side(~left, F.max)) - F.greatest(side(left, F.min), side(~left, F.min))
         enough = (side(left, F.count) >= SIDE_LINES) & (side(~left, F.count) >= SIDE_LINES) & (overlap >= SIDE_OVERLAP)

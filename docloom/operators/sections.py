@@ -83,9 +83,8 @@ def font_headings(lines: DataFrame, titles: DataFrame | None = None, ratio: floa
 
     titles (manual_id, title) gives chapter titles that are no headings of their own.
     """
-    lines = drop_margin_glyphs(lines)
-    median = lines.filter("size > 0").groupBy("manual_id").agg(F.median("size").alias("body"))
-    marked = lines.join(median, "manual_id")
+    body = F.median(F.when(F.col("size") > 0, F.col("size"))).over(W.partitionBy("manual_id"))
+    marked = drop_margin_glyphs(lines).withColumn("body", body)
     big = (F.col("size") >= F.col("body") * ratio) & F.col("text").rlike("[a-zA-Z]") & ~strip(F.col("text")).rlike("^■")
     if titles is not None:
         own = titles.select("manual_id", normalise(F.col("title")).alias("chapter"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +21,12 @@ class Spec:
     steps: DataFrame
     requirements: DataFrame
     thresholds: DataFrame
+    kept: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Give up the parts that generate kept."""
+        for df in self.kept:
+            df.unpersist()
 
 
 def headings(bookmarks: DataFrame, lines: DataFrame) -> DataFrame:
@@ -36,23 +43,25 @@ def headings(bookmarks: DataFrame, lines: DataFrame) -> DataFrame:
     return sections.match_headings(own, lines)
 
 
-def generate(lines: DataFrame, bookmarks: DataFrame | None = None, header: float = 0.0, footer: float | None = None, columns: int = 1, offset: int = 1, prefixes: tuple[str, ...] = (), excluded: tuple[str, ...] = ()) -> Spec:
+def generate(lines: DataFrame, bookmarks: DataFrame | None = None, header: float = 0.0, footer: float | None = None, columns: int = 1, offset: int = 1, prefixes: tuple[str, ...] = (), excluded: tuple[str, ...] = (), keep: bool = False) -> Spec:
     """Functions of all manuals (BLD-10). Header citations are read before furniture goes, furniture before columns are put in order.
 
-    Without bookmarks sections come from font sizes.
+    Without bookmarks sections come from font sizes. With keep, what several outputs share is computed once and held in
+    memory or on the executors' disks until release(); what a lost executor held is computed again.
     """
+    hold = (lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)) if keep else (lambda df: df)
     citations = layout.running_heads(lines, header, footer) if header else None
     body = layout.furniture(lines, header, footer) if header or footer is not None else lines
     body = layout.order_by_columns(body, columns)
     read = body.withColumn("top", F.col("read_top")).drop("read_top")
     heads = headings(bookmarks, read) if bookmarks is not None else sections.font_headings(read).withColumns({"area": F.lit(""), "chapter_end": F.lit(None).cast("int")})
-    cut = sections.cut_sections(heads, read)
+    cut = hold(sections.cut_sections(heads, read))
     titles = heads.withColumn("section_no", F.col("seq"))
     funcs = building.functions(cut, titles.select("manual_id", "section_no", "title", "page_start"), offset, excluded)
     kept = cut.join(funcs.select("manual_id", "section_no"), ["manual_id", "section_no"], "left_semi") if excluded else cut
-    split = building.split_lines(kept, prefixes)
+    split = hold(building.split_lines(kept, prefixes))
     step_rows = building.steps(split)
     groups = building.next_steps(building.paragraphs(split), step_rows)
-    reqs = building.requirements(groups, funcs.select("manual_id", "section_no", "title"), offset, citations)
+    reqs = hold(building.requirements(groups, funcs.select("manual_id", "section_no", "title"), offset, citations))
     found = detect(reqs.select("manual_id", "section_no", "req_no", "req_id", "source_text", "source"), "source_text", "source")
-    return Spec(titles, cut, funcs, step_rows, reqs, found)
+    return Spec(titles, cut, funcs, step_rows, reqs, found, (cut, split, reqs) if keep else ())

@@ -164,13 +164,13 @@ def figure_captions(spark: SparkSession, d: str) -> DataFrame:
     return figures.captions(figures.merge_rects(figures.content_rects(fixtures.manual_rects(lines))), lines, ("Using",))
 
 
-def _spec(spark: SparkSession, d: str):
+def _spec(spark: SparkSession, d: str, keep: bool = False):
     lines = manual_lines(spark, d)
-    return generate(lines, fixtures.manual_bookmarks(lines))
+    return generate(lines, fixtures.manual_bookmarks(lines), keep=keep)
 
 
 def function_counts(spark: SparkSession, d: str) -> DataFrame:
-    s = _spec(spark, d)
+    s = _spec(spark, d, keep=True)
     return reports.function_counts(s.functions, s.steps, s.requirements, s.thresholds)
 
 
@@ -179,7 +179,7 @@ def spec_requirements(spark: SparkSession, d: str) -> DataFrame:
 
 
 def function_pages(spark: SparkSession, d: str) -> DataFrame:
-    s = _spec(spark, d)
+    s = _spec(spark, d, keep=True)
     return reports.function_pages(s.functions, s.requirements, s.steps, s.thresholds.withColumn("line_no", F.col("req_no")))
 
 

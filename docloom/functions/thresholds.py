@@ -87,8 +87,7 @@ def detect(rows: DataFrame, text: str = "text", source: str = "source") -> DataF
     in one pass over a row and nothing is shuffled.
     """
     found = [_found(F.col(text), F.col("_low"), k, *rule) for k, rule in enumerate(PATTERNS)]
-    # A plain explode would add a filter on the array, which is pushed down and finds all matches a second time.
-    df = rows.withColumn("_low", F.lower(text)).withColumn("_m", F.explode_outer(F.flatten(F.array(*found)))).filter("_m is not null")
+    df = rows.withColumn("_low", F.lower(text)).withColumn("_m", F.explode(F.flatten(F.array(*found))))
     df = df.select(*rows.columns, "_m.*")
     start = F.greatest(F.col("at") - WINDOW, F.lit(0))
     stop = F.least(F.col("at") + F.length("matching_text") + WINDOW, F.length(text))

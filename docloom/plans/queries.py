@@ -127,7 +127,7 @@ def glossary_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def wording_collisions(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "part").filter("p_partkey <= 500")
+    p = read(spark, d, "part")
     words = p.select(F.col("p_partkey").cast("string").alias("term_id"), F.col("p_name").alias("text"), F.when(F.col("p_size") % 3 == 0, F.lit("")).otherwise(F.col("p_brand")).alias("maker"))
     return overlay.wording_collisions(words)
 
@@ -339,7 +339,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT term_id, CAST(sum(n) AS BIGINT) AS hits, count(*) AS manuals FROM h GROUP BY ALL
         """,
         "wording_collisions": """
-            WITH w AS (SELECT CAST(p_partkey AS VARCHAR) AS term_id, lower(p_name) AS norm, CASE WHEN p_size % 3 <> 0 THEN p_brand END AS maker FROM part WHERE p_partkey <= 500)
+            WITH w AS (SELECT CAST(p_partkey AS VARCHAR) AS term_id, lower(p_name) AS norm, CASE WHEN p_size % 3 <> 0 THEN p_brand END AS maker FROM part)
             SELECT DISTINCT a.term_id AS term_a, b.term_id AS term_b, a.norm FROM w a JOIN w b ON a.norm = b.norm AND a.term_id < b.term_id AND (a.maker IS NULL OR b.maker IS NULL OR a.maker = b.maker)
         """,
         "stale_keys": "SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'",

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import components, cut
@@ -18,8 +18,10 @@ FIT_ROWS = 20_000
 MAX_CELLS = 4096
 #: Cells that a vector is compared in, its own included.
 PROBES = 8
-#: Rows of a block, at least.
-BLOCK = 256
+#: Rows of a block, at least and at most: a task holds two blocks, however large a cell is.
+BLOCK, MAX_BLOCK = 256, 8192
+#: Cosines that a worker holds at once.
+STRIP = 1 << 20
 
 
 def _unit(values: np.ndarray) -> np.ndarray:
@@ -74,20 +76,23 @@ def near_duplicates(
     probes reach are missed (measured recall: README); none below the threshold is
     returned. A cell of any size is dealt out as pairs of blocks, so no task holds it.
 
+    Equal vectors are merged before they are indexed, summed in each task first: a vector that
+    a third of all rows share is compared once and its number weighs in the counts.
+    Members find their vector again by two 64-bit hashes.
+
     Null, zero and non-finite vectors link with nothing, nor do vectors of different
-    length or rows with a null id. A repeated id with links of its own is one vertex whose
-    counts add up, so ids should be unique. An empty table yields no rows.
+    length or rows with a null id. Rows with equal ids are vectors of their own in the
+    counts, and one vertex in the components. An empty table yields no rows.
     """
-    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    usable = F.expr("vec_id is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
+    base = cut(rows.filter(usable).groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight")).select("vec_id", "v", "weight"), "vectors")
     n = base.count()
     share = min(1.0, fit_rows / max(n, 1))
-    drawn = (
-        base.filter(F.col("vec_id").isNotNull() & (F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1))
-        .filter("size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
-    )
+    drawn = base.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
     top = drawn.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if top is None:
-        return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     dim = top["d"]
     sample = drawn.filter(F.size("v") == dim).select("vec_id", F.col("v")).toArrow()
     order = np.argsort(sample.column(0).to_numpy(), kind="stable")
@@ -101,9 +106,9 @@ def near_duplicates(
         for b in batches:
             size, off, flat = _valid(b.column(1))
             ids = b.column(0)
-            out: list[list] = [[], [], [], []]
-            ok = (size > 0) & ~ids.is_null().to_numpy(zero_copy_only=False)
-            own = np.fromiter((f for f in np.flatnonzero(ok)), np.int64)
+            weights = b.column(2)
+            out: list[list] = [[], [], [], [], []]
+            own = np.flatnonzero(size)
             same = own[size[own] == dim]
             for at in range(0, len(same), 2048):
                 part = same[at : at + 2048]
@@ -118,21 +123,25 @@ def near_duplicates(
                         out[1].append(ids[i].as_py())
                         out[2].append(all_p)
                         out[3].append(raw)
+                        out[4].append(weights[i].as_py())
             for i in own[size[own] != dim]:  # vectors of another length: one cell for each length
                 c = -int(size[i])
                 out[0].append(c)
                 out[1].append(ids[i].as_py())
                 out[2].append(np.array([c], "<i4").tobytes())
                 out[3].append(flat[off[i] : off[i + 1]].tobytes())
+                out[4].append(weights[i].as_py())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["cell", "vec_id", "probes", "raw"]
+                [pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.int64())],
+                ["cell", "vec_id", "probes", "raw", "weight"],
             )
 
-    placed = base.mapInArrow(assign, "cell int, vec_id long, probes binary, raw binary")
-    # At most one row for each cell (their number is bounded) tells into how many blocks it is cut.
+    # At most one row for each cell (their number is bounded) tells into how many blocks it is cut, and so
+    # does one for each other length that fills more than a block.
     per_cell = base.mapInArrow(lambda it: _cells_only(assign(it)), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     counts = {r["cell"]: r["n"] for r in per_cell.filter("cell >= 0").collect()}
-    width = max(block, math.ceil(sum(counts.values()) / max(len(counts), 1) / 2))
+    width = min(max(block, math.ceil(sum(counts.values()) / max(len(counts), 1) / 2)), max(block, MAX_BLOCK))
+    counts |= {r["cell"]: r["n"] for r in per_cell.filter((F.col("cell") < 0) & (F.col("n") > width)).collect()}
     parts = {c: math.ceil(m / width) for c, m in counts.items() if m > width}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,8 +159,8 @@ def near_duplicates(
             some = b.take(pa.array(take, pa.int64()))
             yield pa.RecordBatch.from_arrays([*some.columns, pa.array(left, pa.int32()), pa.array(right, pa.int32()), pa.array(mine, pa.int32())], [*some.schema.names, "x", "y", "mine"])
 
-    dealt = base.mapInArrow(deal, "cell int, vec_id long, probes binary, raw binary, x int, y int, mine int")
-    tiles = dealt.groupBy("cell", "x", "y").agg(F.collect_list(F.struct("vec_id", "mine", "probes", "raw")).alias("rows"))
+    dealt = base.mapInArrow(deal, "cell int, vec_id long, probes binary, raw binary, weight long, x int, y int, mine int")
+    tiles = dealt.groupBy("cell", "x", "y").agg(F.collect_list(F.struct("vec_id", "mine", "probes", "raw", "weight")).alias("rows"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,55 +174,73 @@ def near_duplicates(
 
     found = cut(tiles.mapInArrow(compare, "vec_id long, n long, low long"), "links")
     roots = components(found.select(F.col("vec_id").alias("a"), F.col("low").alias("b")))
-    linked = found.groupBy("vec_id").agg(F.sum("n").alias("n_links")).join(roots, F.col("vec_id") == F.col("node"), "left").select("vec_id", "n_links", "root")
+    linked = found.groupBy("vec_id").agg(F.sum("n").alias("n")).join(roots, F.col("vec_id") == F.col("node"), "left").select(F.col("vec_id").alias("rep"), "n", "root")
+    # Most vectors stand alone and link with nothing: they need no row here.
+    known = (
+        base.join(linked, F.col("vec_id") == F.col("rep"), "left")
+        .filter("weight > 1 or n is not null")
+        .select(*_keys(), (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("root", "vec_id").alias("root"))
+    )
+    known = cut(known, "known").hint("merge")
     return (
-        base.select("vec_id")
-        .join(linked, "vec_id", "left")
-        .select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"))
+        rows.select("vec_id", *[F.when(usable, k).alias(f"_{name}") for k, name in zip(_keys(), ("h", "g"), strict=True)])
+        .join(known, (F.col("_h") == F.col("h")) & (F.col("_g") == F.col("g")), "left")
+        .select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
     )
 
 
+def _keys() -> list[Column]:
+    return [F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g")]
+
+
 def _cells_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         c, n = np.unique(b.column(0).to_numpy(), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(n, pa.int64())], ["cell", "n"])
 
 
+def _merge(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Give linked rows one root, the lowest; parent points to roots before and after."""
+    while True:
+        a, b = parent[i], parent[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (parent[parent] != parent).any():
+            parent[:] = parent[parent]
+
+
 def _tile(cell: int, x: int, y: int, rows: pa.StructArray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a pair of blocks of a cell: ids with links, their number here, their smallest link or own id reachable here."""
-    ids, mine = rows.field("vec_id").to_numpy(), rows.field("mine").to_numpy()
+    """Of a pair of blocks of a cell: ids with links, their number here, the smallest id reachable here.
+
+    Cosines are formed a strip at a time, so dense blocks need no more memory than sparse ones.
+    """
+    rows = rows.take(pa.array(np.argsort(rows.field("vec_id").to_numpy(), kind="stable")))
+    ids, mine, weight = (rows.field(c).to_numpy() for c in ("vec_id", "mine", "weight"))
     probes = [np.frombuffer(p, "<i4") for p in rows.field("probes").to_pylist()]
     v = _unit(np.stack([np.frombuffer(r, np.float64) for r in rows.field("raw").to_pylist()]))
-    left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
-    near = v[left] @ v[right].T >= threshold
-    i, j = np.nonzero(near)
-    i, j = left[i], right[j]
-    keep = ids[i] != ids[j]
-    if x == y:
-        keep &= i < j
-    i, j = i[keep], j[keep]
-    if not len(i):
-        return ids[:0], ids[:0], ids[:0]
     wide = max(map(len, probes))
-    seen = np.stack([np.pad(p, (0, wide - len(p)), constant_values=np.iinfo(np.int32).max) for p in probes])
-    # Both members of a pair may share several cells; the lowest counts it.
-    first = np.empty(len(i), np.int64)
-    for at in range(0, len(i), 1 << 16):
-        p, q = seen[i[at : at + (1 << 16)]], seen[j[at : at + (1 << 16)]]
-        first[at : at + len(p)] = np.where((p[:, :, None] == q[:, None, :]).any(axis=2), p, np.iinfo(np.int32).max).min(axis=1)
-    here = first == cell
-    i, j = i[here], j[here]
-    if not len(i):
-        return ids[:0], ids[:0], ids[:0]
-    n = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
-    label = ids.copy()
-    while True:
-        new = label.copy()
-        np.minimum.at(new, i, label[j])
-        np.minimum.at(new, j, label[i])
-        if (new == label).all():
-            break
-        label = new
+    none = np.iinfo(np.int32).max
+    seen = np.stack([np.pad(p, (0, wide - len(p)), constant_values=none) for p in probes])
+    left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
+    n, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    step = max(1, STRIP // max(len(right), 1))
+    for start in range(0, len(left), step):
+        i, j = np.nonzero(v[left[start : start + step]] @ v[right].T >= threshold)
+        i, j = left[start + i], right[j]
+        keep = i < j if x == y else ids[i] != ids[j]
+        i, j = i[keep], j[keep]
+        # Both members of a pair may share several cells; the lowest counts it.
+        here = np.empty(len(i), bool)
+        for at in range(0, len(i), 1 << 16):
+            p, q = seen[i[at : at + (1 << 16)]], seen[j[at : at + (1 << 16)]]
+            here[at : at + len(p)] = np.where((p[:, :, None] == q[:, None, :]).any(axis=2), p, none).min(axis=1) == cell
+        i, j = i[here], j[here]
+        np.add.at(n, i, weight[j])
+        np.add.at(n, j, weight[i])
+        _merge(parent, i, j)
     own = np.flatnonzero(n)
-    return ids[own], n[own], label[own]
+    return ids[own], n[own], ids[parent[own]]

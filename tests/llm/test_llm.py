@@ -122,6 +122,20 @@ def test_embeddings(spark):
     assert embedding.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_equal_embeddings_weigh_in(spark):
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=16)
+    b = a + rng.normal(size=16) * 0.01
+    rows = [(k, a.tolist()) for k in range(10, 310)] + [(k, b.tolist()) for k in (3, 4)] + [(5, rng.normal(size=16).tolist()), (6, [3.0, 4.0]), (7, [-0.0, 1.0]), (8, [0.0, 1.0]), (None, a.tolist())]
+    rows += [(k, [1.0, k / 1e4, 0.0]) for k in range(400, 500)]  # a third length, more than a block of it
+    got = {r.vec_id: r for r in embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=16).collect()}
+    assert {got[k].n_links for k in range(10, 310)} == {301} == {got[3].n_links, got[4].n_links}
+    assert {got[k].component_id for k in [3, 4, *range(10, 310)]} == {3} and got[3].kept and not got[10].kept
+    assert got[5].n_links == got[6].n_links == 0 and got[7].n_links == got[8].n_links == 1 and got[8].component_id == 7
+    assert {got[k].n_links for k in range(400, 500)} == {99} and {got[k].component_id for k in range(400, 500)} == {400}
+    assert got[None].n_links == 0 and got[None].kept
+
+
 def test_url_rules(spark):
     rows = [(1, "https://Blog.X.example.COM/en/7a?q=/de/"), (2, "http://example.com/en/8"), (3, "http://notexample.com/en/1"), (4, "http://example.net/de/81#x"), (5, "http://a.net/de/8"), (6, None), (7, "nothing"), (8, "ftp://b.org"), (9, "http://b.org/es/")]
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), queries.URL_RULES).collect()}

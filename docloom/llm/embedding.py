@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from docloom.llm.common import components, cut
 
@@ -84,6 +85,8 @@ def near_duplicates(
     length or rows with a null id. Rows with equal ids are vectors of their own in the
     counts, and one vertex in the components. An empty table yields no rows.
     """
+    # Single-precision components travel as such; they are widened where they are compared.
+    kind = "<f4" if vectors.schema[vector_col].dataType == ArrayType(FloatType(), vectors.schema[vector_col].dataType.containsNull) else "<f8"
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     usable = F.expr("vec_id is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
     base = cut(rows.filter(usable).groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight")).select("vec_id", "v", "weight"), "vectors")
@@ -117,7 +120,7 @@ def near_duplicates(
                 best = np.argpartition(-score, reach - 1, axis=1)[:, :reach]
                 best = np.take_along_axis(best, np.argsort(-np.take_along_axis(score, best, axis=1), axis=1, kind="stable"), axis=1)
                 for i, r, p in zip(part, rows, best.astype("<i4"), strict=True):
-                    home, raw, all_p = int(p[0]), r.tobytes(), p.tobytes()
+                    raw, all_p = r.astype(kind).tobytes(), p.tobytes()
                     for c in p:
                         out[0].append(int(c))
                         out[1].append(ids[i].as_py())
@@ -129,7 +132,7 @@ def near_duplicates(
                 out[0].append(c)
                 out[1].append(ids[i].as_py())
                 out[2].append(np.array([c], "<i4").tobytes())
-                out[3].append(flat[off[i] : off[i + 1]].tobytes())
+                out[3].append(flat[off[i] : off[i + 1]].astype(kind).tobytes())
                 out[4].append(weights[i].as_py())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.int64())],
@@ -140,7 +143,7 @@ def near_duplicates(
     # does one for each other length that fills more than a block.
     per_cell = base.mapInArrow(lambda it: _cells_only(assign(it)), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     counts = {r["cell"]: r["n"] for r in per_cell.filter("cell >= 0").collect()}
-    width = min(max(block, math.ceil(sum(counts.values()) / max(len(counts), 1) / 2)), max(block, MAX_BLOCK))
+    width = min(max(block, 2 * math.ceil(sum(counts.values()) / max(len(counts), 1))), max(block, MAX_BLOCK))
     counts |= {r["cell"]: r["n"] for r in per_cell.filter((F.col("cell") < 0) & (F.col("n") > width)).collect()}
     parts = {c: math.ceil(m / width) for c, m in counts.items() if m > width}
 
@@ -166,7 +169,7 @@ def near_duplicates(
         for b in batches:
             ids_out, n_out, low_out = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for cell, x, y, rows in zip(*(b.column(j).to_pylist() for j in range(3)), b.column(3), strict=True):
-                ids, links, low = _tile(cell, x, y, rows.values, threshold)
+                ids, links, low = _tile(cell, x, y, rows.values, threshold, kind)
                 ids_out.append(ids)
                 n_out.append(links)
                 low_out.append(low)
@@ -213,7 +216,7 @@ def _merge(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             parent[:] = parent[parent]
 
 
-def _tile(cell: int, x: int, y: int, rows: pa.StructArray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tile(cell: int, x: int, y: int, rows: pa.StructArray, threshold: float, kind: str = "<f8") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a pair of blocks of a cell: ids with links, their number here, the smallest id reachable here.
 
     Cosines are formed a strip at a time, so dense blocks need no more memory than sparse ones.
@@ -221,7 +224,7 @@ def _tile(cell: int, x: int, y: int, rows: pa.StructArray, threshold: float) ->
     rows = rows.take(pa.array(np.argsort(rows.field("vec_id").to_numpy(), kind="stable")))
     ids, mine, weight = (rows.field(c).to_numpy() for c in ("vec_id", "mine", "weight"))
     probes = [np.frombuffer(p, "<i4") for p in rows.field("probes").to_pylist()]
-    v = _unit(np.stack([np.frombuffer(r, np.float64) for r in rows.field("raw").to_pylist()]))
+    v = _unit(np.stack([np.frombuffer(r, kind) for r in rows.field("raw").to_pylist()]))
     wide = max(map(len, probes))
     none = np.iinfo(np.int32).max
     seen = np.stack([np.pad(p, (0, wide - len(p)), constant_values=none) for p in probes])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.functions.thresholds import PATTERNS, detect
 from docloom.operators import building, figures, layout, overlay, reports, sections
+from docloom.plans import inventory
 from docloom.plans.generate import generate
 from docloom.sources import fixtures, profiles
 from docloom.sources.fixtures import manual_lines, read
@@ -191,7 +192,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             paragraph_groups, next_step, bullet_items, section_cut, strength_mix, overlay_latest, overlay_merge, overlay_orphans, glossary_hits, wording_collisions, stale_keys, rollup_by_maker,
             normalise_documents, repeated_lines, figure_sizes, rect_merge, figure_captions, function_counts, spec_requirements, function_pages,
         )
-    }
+    } | inventory.queries()
 
 
 def _norm(c: str) -> str:
@@ -225,16 +226,9 @@ def _threshold_ctes() -> str:
     """
 
 
-def oracle_sql() -> dict[str, str]:
-    lines = f"lines AS ({fixtures.lines_sql()})"
-    found = _threshold_ctes()
-    overlay_cte = """
-        over AS (
-          SELECT manual_id, threshold_id, CAST(max(q) AS VARCHAR) AS value FROM found WHERE line_no % 3 = 0 GROUP BY ALL
-          UNION ALL SELECT DISTINCT manual_id, 'ghost' || CAST(line_no AS VARCHAR), '1' FROM found WHERE line_no % 50 = 0)
-    """
+def _step_ctes() -> str:
     step = r"'^\s*(\d{1,2})[.)]\s*([A-Z].*?)\s*$'"
-    split = f"""
+    return f"""
         t0 AS (SELECT *, page AS section_no, trim(text) AS t, regexp_matches(trim(text), {step}) AS is_step FROM lines),
         t1 AS (SELECT *, CASE WHEN is_step OR regexp_matches(t, '^[●•▪○◦■]') OR NOT coalesce(top - lag(top) OVER w <= 15, false) THEN 1 ELSE 0 END AS opens FROM t0 WINDOW w AS (PARTITION BY manual_id, page ORDER BY top, line_no)),
         t2 AS (SELECT *, sum(opens) OVER (PARTITION BY manual_id, page ORDER BY top, line_no) AS island FROM t1),
@@ -249,6 +243,17 @@ def oracle_sql() -> dict[str, str]:
         p2 AS (SELECT *, CAST(sum(opens2) OVER (PARTITION BY manual_id, page ORDER BY top, line_no) AS INT) AS group_no FROM p1),
         groups AS (SELECT manual_id, section_no, group_no, string_agg(t, ' ' ORDER BY top, line_no) AS text, min(page) AS page, min(top) AS top FROM p2 GROUP BY ALL)
     """
+
+
+def oracle_sql() -> dict[str, str]:
+    lines = f"lines AS ({fixtures.lines_sql()})"
+    found = _threshold_ctes()
+    overlay_cte = """
+        over AS (
+          SELECT manual_id, threshold_id, CAST(max(q) AS VARCHAR) AS value FROM found WHERE line_no % 3 = 0 GROUP BY ALL
+          UNION ALL SELECT DISTINCT manual_id, 'ghost' || CAST(line_no AS VARCHAR), '1' FROM found WHERE line_no % 50 = 0)
+    """
+    split = _step_ctes()
     glyphs = f"""
         keyed AS (SELECT *, {_norm('text')} AS norm FROM lines),
         keys AS (SELECT manual_id, top AS top10, x0 AS x10, norm, count(DISTINCT page) AS n_pages FROM keyed WHERE norm <> '' GROUP BY ALL HAVING count(DISTINCT page) >= 3),
@@ -346,4 +351,4 @@ def oracle_sql() -> dict[str, str]:
         "rollup_by_maker": f"WITH {sources} SELECT maker, count(*) AS n_manuals, count(*) FILTER (license_state = 'internal_use_permitted') AS n_viewable, count(*) FILTER (coalesce(license_state, '') <> 'internal_use_permitted') AS n_blocked FROM src GROUP BY ALL",
         "normalise_documents": f"SELECT doc_id, CAST(length({_norm('text')}) AS INT) AS n_normal, substr(sha256({_norm('text')}), 1, 12) AS norm_id FROM documents",
         "repeated_lines": "SELECT line, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3",
-    }
+    } | inventory.oracle_sql(_norm, split, found)

@@ -22,29 +22,50 @@ EFFECTIVE = 60.0
 #: Pseudo-documents of the level above that a host, domain, suffix or declaration starts with.
 SMOOTHING = 20.0
 ACCEPT = 0.6
+#: Nats a letter trigram that a text may stay below its language's own mean, and standard errors beyond that.
+SLACK, ERRORS = 2.5, 3.0
+#: Neighbouring trigrams overlap: so many count as one observation.
+OVERLAP = 3
 
 
 @dataclass
 class TextModel:
     languages: list[str]
     weights: np.ndarray  # BUCKETS x languages: log-likelihoods
+    mean: np.ndarray  # by language: mean and deviation of the log-likelihood of its own letter trigrams
+    spread: np.ndarray
 
-    def log_likelihood(self, text: bytes | None) -> tuple[np.ndarray, int]:
-        """Tempered log-likelihoods of a text and the number of its trigrams that hold a letter."""
+    def log_likelihood(self, text: bytes | None) -> tuple[np.ndarray, int, bool]:
+        """Tempered log-likelihoods of a text, how many of its bytes are letters and whether it fits a language at all.
+
+        It fits if its letter trigrams are about as likely under some language as that language's own are. The
+        standard error counts distinct trigrams, so repeating a word proves nothing.
+        """
         total, n, letters = np.zeros(len(self.languages)), 0, 0
-        for idx, has in _trigrams(text):
-            total += self.weights[idx].sum(axis=0, dtype=np.float64)
+        inside, n_inside, seen = np.zeros(len(self.languages)), 0, np.zeros(BUCKETS, bool)
+        for idx, has, inner in _trigrams(text):
+            w = self.weights[idx]
+            total += w.sum(axis=0, dtype=np.float64)
             n += len(idx)
-            letters += has
-        return total * min(1.0, EFFECTIVE / n) if n else total, letters
+            letters += int(has)
+            inside += inner @ w
+            n_inside += int(inner.sum())
+            seen[idx[inner > 0]] = True
+        fits = bool(n_inside and (inside / n_inside >= self.mean - SLACK - ERRORS * self.spread * np.sqrt(OVERLAP / np.count_nonzero(seen))).any())
+        return total * min(1.0, EFFECTIVE / n) if n else total, letters, fits
+
 
+def _trigrams(text: bytes | None, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """Buckets of all byte trigrams of a text, in blocks, how many bytes are letters, and 1.0 for each letter trigram.
 
-def _trigrams(text: bytes | None, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, int]]:
-    """Buckets of all byte trigrams of a text, in blocks, and how many bytes are letters."""
+    A letter trigram has a letter in the middle, another beside it and no digit.
+    """
     data = np.frombuffer((text or b"").lower(), np.uint8)
     for at in range(0, max(len(data) - 2, 0), step):
         b = data[at : at + step + 2].astype(np.uint32)
-        yield (b[:-2] * 961 + b[1:-1] * 31 + b[2:]) & (BUCKETS - 1), int(((b >= 97) & (b <= 122) | (b >= 128)).sum())
+        letter, digit = (b >= 97) & (b <= 122) | (b >= 128), (b >= 48) & (b <= 57)
+        inner = letter[1:-1] & (letter[:-2] | letter[2:]) & ~(digit[:-2] | digit[2:])
+        yield (b[:-2] * 961 + b[1:-1] * 31 + b[2:]) & (BUCKETS - 1), int(letter.sum()), inner.astype(np.float32)
 
 
 def fit(labelled: DataFrame, text_col: str, label_col: str, fit_rows: int = FIT_ROWS) -> TextModel:
@@ -58,21 +79,25 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, fit_rows: int = FIT_
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             for label, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                own = sums.setdefault(label, np.zeros(BUCKETS, np.int64))
-                for idx, _ in _trigrams(text.as_py()):
-                    own += np.bincount(idx, minlength=BUCKETS)
+                own = sums.setdefault(label, np.zeros((2, BUCKETS), np.int64))
+                for idx, _, inner in _trigrams(text.as_py()):
+                    own[0] += np.bincount(idx, minlength=BUCKETS)
+                    own[1] += np.bincount(idx[inner > 0], minlength=BUCKETS)
         for label, own in sums.items():
-            at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([label] * len(at)), pa.array(at.astype(np.int32)), pa.array(own[at])], ["label", "bucket", "n"])
+            at = np.flatnonzero(own[0])
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(at)), pa.array(at.astype(np.int32)), pa.array(own[0, at]), pa.array(own[1, at])], ["label", "bucket", "n", "inner"])
 
-    counted = cut(sample.mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    counted = cut(sample.mapInArrow(count, "label string, bucket int, n long, inner long").groupBy("label", "bucket").agg(F.sum("n").alias("n"), F.sum("inner").alias("inner")), "trigrams")
     top = counted.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(LANGUAGES).collect()
     languages = sorted(r["label"] for r in top)
-    table = np.zeros((BUCKETS, len(languages)))
+    table, own = np.zeros((BUCKETS, len(languages))), np.zeros((BUCKETS, len(languages)))
     for r in counted.filter(F.col("label").isin(languages)).toLocalIterator() if languages else []:
-        table[r["bucket"], languages.index(r["label"])] = r["n"]
+        at = r["bucket"], languages.index(r["label"])
+        table[at], own[at] = r["n"], r["inner"]
     weights = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * BUCKETS))
-    return TextModel(languages, weights.astype(np.float32))
+    own /= np.maximum(own.sum(axis=0), 1)
+    mean = (own * weights).sum(axis=0)
+    return TextModel(languages, weights.astype(np.float32), mean, np.sqrt((own * (weights - mean) ** 2).sum(axis=0)))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -100,7 +125,8 @@ def identify(docs: DataFrame, model: TextModel, text: Column, declared: Column |
     task before the shuffle, so a host with a third of all rows costs one row a task; tables are as
     long as there are hosts, and Spark broadcasts them only below its size threshold.
 
-    accepted needs a letter and a posterior of at least `accept`. A null or empty text is never accepted and
+    accepted needs a posterior of at least `accept` and a text that fits some language of the model: one in another
+    language or of random letters has a likeliest language, but is not accepted and does not count for its host. A null or empty text is never accepted and
     gets the likeliest language by the other evidence. Null evidence says nothing. Columns of the four names are
     replaced; all others and all rows stay. Without any label to fit on, language is null and nothing is accepted.
     """
@@ -118,8 +144,8 @@ def identify(docs: DataFrame, model: TextModel, text: Column, declared: Column |
         sums: dict[tuple, np.ndarray] = {}
         for b in batches:
             for t, h, d in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                ll, letters = kept.value.log_likelihood(t.as_py())
-                if letters:
+                ll, _, fits = kept.value.log_likelihood(t.as_py())
+                if fits:
                     p = _softmax(ll)
                     for key in ((h, ""), ("", d)) if h else (("", d),):
                         if key in sums:
@@ -170,7 +196,7 @@ def identify(docs: DataFrame, model: TextModel, text: Column, declared: Column |
             out: tuple[list, list, list, list] = ([], [], [], [])
             rest = [b.column(at + j).to_pylist() for j in (1, 2, 3)]
             for t, prior_, said_, ending_ in zip(b.column(at), *rest, strict=True):
-                ll, letters = m.log_likelihood(t.as_py())
+                ll, letters, fits = m.log_likelihood(t.as_py())
                 score = ll + (np.log(np.array(prior_)) if prior_ else start)
                 for given in (said_, ending_):
                     if given:
@@ -180,7 +206,7 @@ def identify(docs: DataFrame, model: TextModel, text: Column, declared: Column |
                 out[0].append(m.languages[best])
                 out[1].append(float(p[best]))
                 out[2].append(m.languages[int(ll.argmax())] if letters else None)
-                out[3].append(bool(letters and p[best] >= accept))
+                out[3].append(bool(fits and p[best] >= accept))
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:at], pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.bool_())], [*b.schema.names[:at], *new]
             )

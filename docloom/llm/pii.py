@@ -13,13 +13,13 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 #: (kind, pattern); the first that matches at a place wins.
 PATTERNS = (
     ("secret", r"\bAKIA[0-9A-Z]{16}\b"),
-    ("secret", r"(?i:\b(?:password|passwd|pwd|secret|api[_-]?key|access[_-]?key|token)\b)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{6,200}"),
-    ("secret", r"\b[0-9a-f]{32,128}\b"),
+    ("secret", r"(?i:\b(?:password|passwd|pwd|secret|api[_-]?key|access[_-]?key|token)\b)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{6,}+"),
+    ("secret", r"\b[0-9a-f]{32,}+\b"),
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("ip", rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"),
-    ("date", r"(?<![0-9.])[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}(?![0-9]|[-/.][0-9])"),
-    ("date", r"(?<![0-9.])[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4}(?![0-9]|[-/.][0-9])"),
+    ("date", r"(?<![0-9.])[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}(?![0-9]|[-/.][0-9])"),
+    ("date", r"(?<![0-9.])[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4}(?![0-9]|[-/.][0-9])"),
     ("card", r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\3[0-9]{4}\3[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("phone", r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,5}(?![0-9])"),
@@ -128,17 +128,21 @@ def _date(m: Column, key: str) -> Column:
     sep = F.regexp_extract(m, "[-/.]", 0)
     first = m.rlike("^[0-9]{4}")
     p = F.split(m, "[-/.]")
-    day_first = F.element_at(p, 2).cast("int") <= 12
-    iso = F.when(first, F.concat_ws("-", p)).when(day_first, F.concat_ws("-", F.element_at(p, 3), F.element_at(p, 2), F.element_at(p, 1))).otherwise(
-        F.concat_ws("-", F.element_at(p, 3), F.element_at(p, 1), F.element_at(p, 2))
+    part = lambda k: F.element_at(p, k)
+    two = lambda x: F.lpad(x, 2, "0")
+    day_first = part(2).cast("int") <= 12
+    iso = F.when(first, F.concat_ws("-", part(1), two(part(2)), two(part(3)))).when(day_first, F.concat_ws("-", part(3), two(part(2)), two(part(1)))).otherwise(
+        F.concat_ws("-", part(3), two(part(1)), two(part(2)))
     )
     date = F.try_to_date(iso, "yyyy-MM-dd")
     days = F.datediff(date, F.lit(EPOCH).cast("date"))
     moved = feistel((days / DAY_B).cast("int"), days % DAY_B, F.lit(DAY_A), F.lit(DAY_B), key, "date")
     new = F.date_add(F.lit(EPOCH).cast("date"), (moved["l"] * DAY_B + moved["r"]).cast("int"))
-    written = F.transform(F.array(new), lambda x: F.when(first, F.concat_ws("-", F.date_format(x, "yyyy"), F.date_format(x, "MM"), F.date_format(x, "dd"))).when(
-        day_first, F.concat_ws("-", F.date_format(x, "dd"), F.date_format(x, "MM"), F.date_format(x, "yyyy"))
-    ).otherwise(F.concat_ws("-", F.date_format(x, "MM"), F.date_format(x, "dd"), F.date_format(x, "yyyy"))))
+    # A day or month that stood without a leading zero is written without one, where the new one has one digit.
+    like = lambda x, pattern, old: F.when(F.length(old) == 1, F.date_format(x, pattern[:1])).otherwise(F.date_format(x, pattern))
+    written = F.transform(F.array(new), lambda x: F.when(first, F.concat_ws("-", F.date_format(x, "yyyy"), like(x, "MM", part(2)), like(x, "dd", part(3)))).when(
+        day_first, F.concat_ws("-", like(x, "dd", part(1)), like(x, "MM", part(2)), F.date_format(x, "yyyy"))
+    ).otherwise(F.concat_ws("-", like(x, "MM", part(1)), like(x, "dd", part(2)), F.date_format(x, "yyyy"))))
     return F.when(days.between(0, DAY_A * DAY_B - 1), F.replace(F.element_at(written, 1), F.lit("-"), sep)).otherwise(m)
 
 

@@ -10,29 +10,47 @@ from docloom.llm.common import cut
 #: Word positions that a seed looks at; it ignores the others within its span.
 MASKS = ((0, 1, 3, 4, 6, 8), (0, 1, 2, 5, 7, 8), (0, 2, 3, 5, 6, 7))
 SPAN = 9
+#: With these, each alignment of SPAN to WINDOW words has a seed whichever of its words may differ. A longer one has one among MASKS.
+EDGE_MASKS = ((1, 3, 4, 7, 8), (0, 3, 5, 6, 8), (0, 2, 3, 4, 6))
 #: An overlap is a window of this many words of which this share agrees, at the same distance.
 WINDOW = 13
 SIMILARITY = 0.8
 #: Seeds of a benchmark that are broadcast, at most (about 32 bytes each); more are joined by shuffle.
 BROADCAST_SEEDS = 1_000_000
+#: Scripts written without spaces between words: each character counts as a word.
+UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+#: They all lie here. A range is tested at once, where a script is looked up for each character.
+HIGH = r"[\x{0E00}-\x{10FFFF}]"
 
 
 def word_hashes(text: Column) -> Column:
-    """64-bit hashes of a text's words: lower-cased runs of letters and digits."""
-    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    """64-bit hashes of a text's words: lower-cased runs of letters and digits, or single characters of UNSPACED."""
+    text = F.coalesce(text, F.lit(""))
+    spaced = F.when(text.rlike(HIGH), F.regexp_replace(text, UNSPACED, " $1 ")).otherwise(text)
+    words = F.array_remove(F.split(F.lower(spaced), r"[^\p{L}\p{N}]+"), "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _places(df: DataFrame, h: str, keep: list[str]) -> DataFrame:
+def _places(df: DataFrame, h: str, keep: list[str], everywhere: bool = True) -> DataFrame:
     """A row for each seed: seed, at (the window's first word) and the columns to keep.
 
+    Seeds of EDGE_MASKS are formed everywhere, or only where a passage cut off by the text's edge can lie.
+
     The words of a window stand side by side after shifted copies of the array are zipped, so
     hashing and the join run in generated code and not in a lambda for each word.
     """
     shifted = ", ".join(f"slice({h}, {k + 1}, size({h}) - {SPAN - 1})" for k in range(SPAN))
-    wide = df.filter(F.size(h) >= SPAN).select(*keep, F.expr(f"posexplode(arrays_zip({shifted}))").alias("at", "z"))
-    seeds = [F.xxhash64(*[F.col("z")[str(k)] for k in mask], F.lit(j)) for j, mask in enumerate(MASKS)]
-    return wide.select(*keep, "at", F.explode(F.array(*seeds)).alias("seed"))
+    wide = df.filter(F.size(h) >= SPAN).select(*keep, F.size(h).alias("_n"), F.expr(f"posexplode(arrays_zip({shifted}))").alias("at", "z"))
+    seeds = [F.xxhash64(*[F.col("z")[str(k)] for k in mask], F.lit(j)) for j, mask in enumerate(MASKS + EDGE_MASKS)]
+    edge = F.lit(everywhere) | (F.col("at") < WINDOW - SPAN) | (F.col("at") > F.col("_n") - WINDOW)
+    return wide.select(*keep, "at", F.explode(F.when(edge, F.array(*seeds)).otherwise(F.array(*seeds[: len(MASKS)]))).alias("seed"))
+
+
+def _runs(df: DataFrame, h: str, keep: list[str], n: int) -> DataFrame:
+    """Rows as those of _places: a seed for each run of n words, all of them."""
+    shifted = ", ".join(f"slice({h}, {k + 1}, size({h}) - {n - 1})" for k in range(n))
+    wide = df.filter(F.size(h) >= n).select(*keep, F.expr(f"posexplode(arrays_zip({shifted}))").alias("at", "z"))
+    return wide.select(*keep, "at", F.xxhash64(*[F.col("z")[str(k)] for k in range(n)], F.lit(-n)).alias("seed"))
 
 
 def find_overlaps(
@@ -51,7 +69,8 @@ def find_overlaps(
     window of WINDOW words must agree in SIMILARITY of its places (at an item's edges of
     at least SPAN words, all of the item). items are those verified, ascending; similarity the best window's share.
 
-    A null text, or one of fewer than SPAN words, overlaps nothing, and so do items of fewer words. A null id is
+    An item of fewer than SPAN words overlaps where all of it stands, word for word. Other items overlap no text of fewer than
+    SPAN words. A null text, or an item without words, overlaps nothing. A null id is
     never contaminated. Rows with a repeated id are verified on their own texts. An empty
     benchmark or table of documents gives no overlap or no rows. Items with equal words count as the one with
     the smallest id. Other columns are not read.
@@ -69,7 +88,12 @@ def _verified(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_co
         .agg(F.min("item").alias("item")),
         "items",
     )
-    seeds = cut(_places(items, "ih", ["item"]).withColumnRenamed("at", "item_at").distinct(), "seeds")
+    sizes = [r["n"] for r in items.filter(F.size("ih").between(1, WINDOW - 1)).select(F.size("ih").alias("n")).distinct().collect()]
+    whole, everywhere = sorted(n for n in sizes if n < SPAN), any(n >= SPAN for n in sizes)
+    places = _places(items, "ih", ["item"])
+    for n in whole:
+        places = places.unionByName(_runs(items.filter(F.size("ih") == n), "ih", ["item"], n))
+    seeds = cut(places.withColumnRenamed("at", "item_at").distinct(), "seeds")
     n_seeds = seeds.count()
     if not n_seeds:
         return docs.select(
@@ -77,8 +101,11 @@ def _verified(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_co
         )
     few = F.broadcast if n_seeds <= broadcast_seeds else lambda df: df
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), word_hashes(F.col(text_col)).alias("h")).filter("_id is not null")
+    found = _places(rows, "h", ["_id"], everywhere)
+    for n in whole:
+        found = found.unionByName(_runs(rows, "h", ["_id"], n))
     hits = (
-        _places(rows, "h", ["_id"])
+        found
         .join(few(seeds), "seed")
         .groupBy("_id", "item", F.expr("at - item_at").alias("distance"))
         .agg(F.count("*").alias("n"))
@@ -95,16 +122,16 @@ def _verified(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_co
                       k -> if(h[x.distance + k] = x.ih[k], 1, 0))))
     """
     best = f"""
-        transform(scored, x -> named_struct('item', x.item, 'share',
+        transform(scored, x -> named_struct('item', x.item, 'size', size(x.agree), 'share',
             array_max(transform(sequence(0, greatest(0, size(x.agree) - {WINDOW})),
                 s -> aggregate(slice(x.agree, s + 1, {WINDOW}), 0, (a, b) -> a + b))) / cast(least({WINDOW}, size(x.agree)) as double)))
     """
     verified = (
         docs.join(hits, docs[id_col].cast("long") == hits["_id"], "left")
         .withColumn("h", F.when(F.col("hits").isNotNull(), word_hashes(F.col(text_col))))
-        .withColumn("hits", F.expr(f"filter(hits, x -> least(size(x.ih), size(h) - x.distance) - greatest(0, -x.distance) >= {SPAN})"))
+        .withColumn("hits", F.expr(f"filter(hits, x -> least(size(x.ih), size(h) - x.distance) - greatest(0, -x.distance) >= least({SPAN}, size(x.ih)))"))
         .withColumn("scored", F.expr(scored))
-        .withColumn("best", F.expr(f"filter({best}, x -> x.share >= {SIMILARITY})"))
+        .withColumn("best", F.expr(f"filter({best}, x -> x.share >= if(x.size < {SPAN}, 1.0, {SIMILARITY}))"))
     )
     return verified.select(
         *[docs[c] for c in docs.columns],

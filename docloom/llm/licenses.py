@@ -101,8 +101,8 @@ OTHERS = (
     ("no-license", "license", 0.5, r"no licen[sc]e (?:is )?(?:granted|given)"),
 )
 
-#: A text without any of these holds no keyword of a rule.
-GATE = ("licen", "copyright", "reserved", "cc", "domain", "gpl", "warrant", "as is", "permission", "redistribution", "proprietary", "bsd", "documentation", "creative", "wtfpl")
+#: A text without any of these matches no rule. Single words, for the text may have other characters than one space between words.
+GATE = ("licen", "copyright", "reserved", "cc", "domain", "gpl", "warrant", "provided", "permission", "redistribution", "proprietary", "bsd", "documentation", "creative", "wtfpl")
 
 
 def rules() -> list[tuple[int, str, str, float, str]]:

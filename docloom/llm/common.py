@@ -14,11 +14,14 @@ _FALLBACK: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where it is unset (tests, a single machine) a temporary folder stands in.
+    Where it is unset on a single machine (local mode) a temporary folder stands in; on a cluster that would
+    be another folder on each machine, so it is an error there.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _FALLBACK:
         _FALLBACK["dir"] = tempfile.mkdtemp(prefix="docloom-")
     return _FALLBACK["dir"]
@@ -51,14 +54,42 @@ def discard(table: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with underscores before it until no column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Parts that the rows of one key are dealt into where each needs its key's minimum.
+SALTS = 64
+
+
+def with_least(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """rows with the least value of their key, which must not be null, as name.
+
+    A key's rows are dealt into SALTS parts by their value. Parts are reduced first, and each part
+    gets its own copy of the key's minimum back, so a key with any share of all rows is no single task's work.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(key, "_salt").agg(F.min(value).alias("_m"))
+    low = parts.groupBy(key).agg(F.min("_m").alias(name), F.collect_list("_salt").alias("_salts")).select(key, name, F.explode("_salts").alias("_salt"))
+    return salted.join(low, [key, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a long, b long): rows (node, root).
 
     root is the smallest node reachable from node. Alternates the large-star and
     small-star steps (Kiveris et al., 2014) until the edges are stars around their
     smallest member. Each round is written to the shared folder; only a row count and a
-    checksum reach the driver. A hub's edges are joined by sort-merge, which adaptive
-    execution splits. Nodes without an edge to another node are not returned.
+    checksum reach the driver. A hub's edges are dealt over many tasks (with_least). Nodes without an edge
+    to another node are not returned.
     """
     e = cut(
         edges.filter(F.col("a") != F.col("b"))
@@ -71,13 +102,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             e.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        large = with_least(both, "u", "v", "m").filter("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
+        small = with_least(large, "a", "b", "m")
         new = cut(
             small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(least.select("a", F.col("m").alias("b")))
+            .unionByName(small.select("a", F.col("m").alias("b")))
             .distinct(),
             "edges",
         )

@@ -10,12 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut
+from docloom.llm.common import cut, discard, free_names
 
-#: Labelled rows that the text model is fitted on, about; drawn by a hash of the text.
-FIT_ROWS = 4000
-#: Languages of the model, at most: the most frequent labels.
-LANGUAGES = 64
+#: Labelled rows of each label that the text model is fitted on, about; drawn by a hash of the text. A rarer label gives all its rows.
+FIT_ROWS = 1000
 BUCKETS = 1 << 15
 #: Trigrams of a text that count at most as independent evidence.
 EFFECTIVE = 60.0
@@ -69,31 +67,42 @@ def _trigrams(text: bytes | None, step: int = 1 << 20) -> Iterator[tuple[np.ndar
 
 
 def fit(labelled: DataFrame, text_col: str, label_col: str, fit_rows: int = FIT_ROWS) -> TextModel:
-    """A text model from about fit_rows labelled rows; the executors count, the driver gets at most languages x BUCKETS sums."""
+    """A text model of all labels, each from about fit_rows of its rows.
+
+    The executors count; the driver gets at most BUCKETS sums of each label. Null labels and null texts are left out; ties and
+    repeated rows count as often as they stand. A table without labels gives a model without languages.
+    """
     rows = labelled.filter(F.col(label_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("binary").alias("text"))
-    n = rows.count()
-    share = min(1.0, fit_rows / max(n, 1))
-    sample = rows.filter(F.pmod(F.xxhash64("text", "label"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
+    # As many rows as there are labels; Spark broadcasts them below its size threshold.
+    sample = rows.join(sizes, "label").filter(F.pmod(F.xxhash64("text", "label"), F.lit(1 << 30)) * F.col("n") < fit_rows * (1 << 30)).select("label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def out(label: str, own: np.ndarray) -> pa.RecordBatch:
+            at = np.flatnonzero(own[0])
+            return pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[0, at]), pa.array(own[1, at])], ["label", "bucket", "n", "inner"])
+
         for b in batches:
             for label, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if label not in sums and len(sums) >= 64:  # a task holds the sums of so many labels
+                    yield out(*sums.popitem())
                 own = sums.setdefault(label, np.zeros((2, BUCKETS), np.int64))
                 for idx, _, inner in _trigrams(text.as_py()):
                     own[0] += np.bincount(idx, minlength=BUCKETS)
                     own[1] += np.bincount(idx[inner > 0], minlength=BUCKETS)
         for label, own in sums.items():
-            at = np.flatnonzero(own[0])
-            yield pa.RecordBatch.from_arrays([pa.array([label] * len(at)), pa.array(at.astype(np.int32)), pa.array(own[0, at]), pa.array(own[1, at])], ["label", "bucket", "n", "inner"])
+            yield out(label, own)
 
     counted = cut(sample.mapInArrow(count, "label string, bucket int, n long, inner long").groupBy("label", "bucket").agg(F.sum("n").alias("n"), F.sum("inner").alias("inner")), "trigrams")
-    top = counted.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(LANGUAGES).collect()
-    languages = sorted(r["label"] for r in top)
+    languages = [r["label"] for r in counted.select("label").distinct().orderBy("label").collect()]
+    place = {label: k for k, label in enumerate(languages)}
     table, own = np.zeros((BUCKETS, len(languages))), np.zeros((BUCKETS, len(languages)))
-    for r in counted.filter(F.col("label").isin(languages)).toLocalIterator() if languages else []:
-        at = r["bucket"], languages.index(r["label"])
-        table[at], own[at] = r["n"], r["inner"]
+    for b in counted.toArrow().to_batches():
+        at = b.column(1).to_numpy(), np.array([place[x] for x in b.column(0).to_pylist()], np.int64)
+        table[at], own[at] = b.column(2).to_numpy(), b.column(3).to_numpy()
+    discard(counted)
     weights = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * BUCKETS))
     own /= np.maximum(own.sum(axis=0), 1)
     mean = (own * weights).sum(axis=0)
@@ -121,23 +130,26 @@ def identify(docs: DataFrame, model: TextModel, text: Column, declared: Column |
     The log posterior of a language adds the text's tempered log-likelihood, the log-likelihoods of
     the declared language and of the address suffix, and the log of the host's prior.
     The latter three come from sums of the texts' posteriors over all rows, grouped by host and
-    language evidence: a host's sums are smoothed by its domain's, those by the sums of all. Sums are formed in each
+    language evidence, less the row's own, so a text is never its own evidence: a host's sums are smoothed by its domain's, those by the sums of all. Sums are formed in each
     task before the shuffle, so a host with a third of all rows costs one row a task; tables are as
     long as there are hosts, and Spark broadcasts them only below its size threshold.
 
     accepted needs a posterior of at least `accept` and a text that fits some language of the model: one in another
     language or of random letters has a likeliest language, but is not accepted and does not count for its host. A null or empty text is never accepted and
-    gets the likeliest language by the other evidence. Null evidence says nothing. Columns of the four names are
-    replaced; all others and all rows stay. Without any label to fit on, language is null and nothing is accepted.
+    gets the likeliest language by the other evidence. Null evidence says nothing. A very long text is read in blocks, whole. Of languages
+    equally likely the first by name is taken. Null and repeated ids are not looked at; of repeated rows each is evidence for the others.
+    Columns of the four names are
+    replaced; all others, whatever their names, and all rows stay. An empty table gives no rows. Without any label to fit on, language is null and nothing is accepted.
     """
     new = ("language", "posterior", "text_language", "accepted")
     keep = [c for c in docs.columns if c not in new]
     k = len(model.languages)
     if not k:
-        return docs.select(*keep, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_language"), F.lit(False).alias("accepted"))
+        return docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_language"), F.lit(False).alias("accepted"))
     host = F.lit("") if host is None else F.coalesce(host, F.lit(""))
     declared = F.lit("") if declared is None else F.lower(F.coalesce(declared, F.lit("")))
-    base = docs.select(*keep, text.cast("binary").alias("_text"), host.alias("_host"), declared.alias("_declared"))
+    t_, h_, d_, s_, hs_, ds_, ss_ = free_names([*docs.columns, *new], "_text", "_host", "_declared", "_suffix", "_host_sums", "_said_sums", "_suffix_sums")
+    base = docs.select(*[F.col(f"`{c}`") for c in keep], text.cast("binary").alias(t_), host.alias(h_), declared.alias(d_))
     kept = docs.sparkSession.sparkContext.broadcast(model)
 
     def posteriors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,49 +171,32 @@ def identify(docs: DataFrame, model: TextModel, text: Column, declared: Column |
             yield _sums(sums, k)
 
     cols = [f"p{j}" for j in range(k)]
-    narrow = base.select("_text", "_host", "_declared")
+    narrow = base.select(t_, h_, d_)
     sums = cut(
         narrow.mapInArrow(posteriors, "host string, declared string, " + ", ".join(f"{c} double" for c in cols)).groupBy("host", "declared").agg(*[F.round(F.sum(c), 6).alias(c) for c in cols]),
         "priors",
     )
-    vector = lambda prefix="": F.array(*[F.col(f"{prefix}{c}") for c in cols])
+    vector = F.array(*[F.col(c) for c in cols])
+    added = [F.sum(c).alias(c) for c in cols]
     hosts = sums.filter("host <> ''")
     everything = np.array(sums.filter("host = ''").agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in cols]).first(), float)
-    overall = (everything + 1) / (everything.sum() + k)
-    up = lambda own, above: F.zip_with(own, above, lambda a, b: a + b * SMOOTHING)
-    share = lambda v: F.transform(v, lambda a: a / F.aggregate(v, F.lit(0.0), lambda x, y: x + y))
-    root = F.array(*[F.lit(float(x)) for x in overall])
-    by_domain = hosts.groupBy(domain_of(F.col("host")).alias("domain")).agg(*[F.sum(c).alias(c) for c in cols]).select("domain", share(up(vector(), root)).alias("above"))
-    prior = cut(
-        hosts.withColumn("domain", domain_of(F.col("host"))).join(by_domain, "domain").select(F.col("host").alias("_host"), share(up(vector(), F.col("above"))).alias("_prior")), "hosts"
-    )
-
-    # P(evidence | language) for declared languages and suffixes: joint sums over a language's own.
-    def likelihood(table: DataFrame, key: str) -> DataFrame:
-        given = [((F.col(c) + float(overall[j]) * SMOOTHING / 10) / (float(everything[j]) + SMOOTHING)) for j, c in enumerate(cols)]
-        return table.select(F.col("key").alias(key), F.array(*given).alias(f"{key}_given"))
-
-    said = cut(likelihood(sums.filter("host = '' and declared <> ''").withColumnRenamed("declared", "key"), "_declared"), "declared")
-    ending = cut(
-        likelihood(hosts.withColumn("key", suffix_of(F.col("host"))).filter("key <> ''").groupBy("key").agg(*[F.sum(c).alias(c) for c in cols]), "_suffix"), "suffixes"
-    )
-    full = base.withColumn("_suffix", suffix_of(F.col("_host"))).join(prior, "_host", "left").join(said, "_declared", "left").join(ending, "_suffix", "left")
-    full = full.select(*keep, "_text", "_prior", "_declared_given", "_suffix_given")
+    by_domain = hosts.groupBy(domain_of(F.col("host")).alias("domain")).agg(*added).select("domain", vector.alias("of_domain"))
+    prior = cut(hosts.select(F.col("host").alias(h_), domain_of(F.col("host")).alias("domain"), vector.alias("own")).join(by_domain, "domain").select(h_, F.concat("own", "of_domain").alias(hs_)), "hosts")
+    said = cut(sums.filter("host = '' and declared <> ''").select(F.col("declared").alias(d_), vector.alias(ds_)), "declared")
+    ending = cut(hosts.withColumn("key", suffix_of(F.col("host"))).filter("key <> ''").groupBy("key").agg(*added).select(F.col("key").alias(s_), vector.alias(ss_)), "suffixes")
+    discard(sums)
+    full = base.withColumn(s_, suffix_of(F.col(h_))).join(prior, h_, "left").join(said, d_, "left").join(ending, s_, "left")
+    full = full.select(*[F.col(f"`{c}`") for c in keep], t_, hs_, ds_, ss_)
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = kept.value
-        start = np.log(overall)
         for b in batches:
             at = b.num_columns - 4
             out: tuple[list, list, list, list] = ([], [], [], [])
             rest = [b.column(at + j).to_pylist() for j in (1, 2, 3)]
-            for t, prior_, said_, ending_ in zip(b.column(at), *rest, strict=True):
+            for t, of_host, of_declared, of_suffix in zip(b.column(at), *rest, strict=True):
                 ll, letters, fits = m.log_likelihood(t.as_py())
-                score = ll + (np.log(np.array(prior_)) if prior_ else start)
-                for given in (said_, ending_):
-                    if given:
-                        score = score + np.log(np.array(given))
-                p = _softmax(score)
+                p = _softmax(ll + log_evidence(_softmax(ll) if fits else np.zeros(k), everything, of_host, of_declared, of_suffix))
                 best = int(p.argmax())
                 out[0].append(m.languages[best])
                 out[1].append(float(p[best]))
@@ -211,12 +206,31 @@ def identify(docs: DataFrame, model: TextModel, text: Column, declared: Column |
                 [*b.columns[:at], pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.bool_())], [*b.schema.names[:at], *new]
             )
 
-    schema = docs.select(*keep).schema
+    schema = base.select(*[F.col(f"`{c}`") for c in keep]).schema
     for name, kind in zip(new, ("string", "double", "string", "boolean"), strict=True):
         schema = schema.add(name, kind)
     return full.mapInArrow(fuse, schema)
 
 
+def log_evidence(own: np.ndarray, everything: np.ndarray, of_host: list | None, of_declared: list | None, of_suffix: list | None) -> np.ndarray:
+    """Log prior of the host plus log-likelihoods of declaration and suffix, from sums of posteriors less the row's own.
+
+    of_host has the host's sums and then its domain's.
+    """
+    k = len(own)
+    less = lambda v: np.maximum(np.asarray(v, float) - own, 0.0)
+    share = lambda v: v / v.sum()
+    rest = less(everything)
+    prior = overall = share(rest + 1)
+    if of_host:
+        prior = share(less(of_host[:k]) + SMOOTHING * share(less(of_host[k:]) + SMOOTHING * overall))
+    score = np.log(prior)
+    for joint in (of_declared, of_suffix):
+        if joint:
+            score += np.log((less(joint) + overall * SMOOTHING / 10) / (rest + SMOOTHING))
+    return score
+
+
 def _sums(sums: dict[tuple, np.ndarray], k: int) -> pa.RecordBatch:
     keys, values = list(sums), np.stack(list(sums.values()))
     return pa.RecordBatch.from_arrays(

@@ -45,22 +45,26 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = language.fit(docs, "text", "lang")
-    found = language.identify(docs.select("doc_id", "text", "lang", "source"), model, F.col("text"), F.col("lang"), F.col("source"))
-    return found.select("doc_id", "language", F.round("posterior", 4).alias("posterior"), "text_language", "accepted")
+    """All pages: text, language declared in the markup, address suffix and host are fused; the text model is fitted on documents."""
+    model = language.fit(table(spark, sf_dir, "documents"), "text", "lang")
+    found = language.identify(page_evidence(table(spark, sf_dir, "pages")), model, F.col("words"), F.col("declared"), F.col("host"))
+    return found.select("page_id", "declared", "language", F.round("posterior", 4).alias("posterior"), "text_language", "accepted")
 
 
-def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The operator of op4 on web pages: markup language, address suffix and host are there to be fused."""
-    model = language.fit(table(spark, sf_dir, "documents"), "text", "lang")
-    pages = table(spark, sf_dir, "pages")
+def page_evidence(pages: DataFrame) -> DataFrame:
+    """Rows (page_id, words, declared, host): a page's text without markup, the language its html tag names, its host."""
     host, _ = urls.split_url(F.col("url"))
     words = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ")
     declared = F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([a-zA-Z]+)", 1)
-    df = pages.select("page_id", words.alias("words"), declared.alias("declared"), host.alias("host"))
-    found = language.identify(df, model, F.col("words"), F.col("declared"), F.col("host"))
-    return found.select("page_id", "declared", "language", F.round("posterior", 4).alias("posterior"), "text_language", "accepted")
+    return pages.select("page_id", words.alias("words"), declared.alias("declared"), host.alias("host"))
+
+
+def document_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op4 on documents: lang is what they declare, source their host; the pipeline's first stage."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, "text", "lang")
+    found = language.identify(docs.select("doc_id", "text", "lang", "source"), model, F.col("text"), F.col("lang"), F.col("source"))
+    return found.select("doc_id", "language", F.round("posterior", 4).alias("posterior"), "text_language", "accepted")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_embedding_near_dedup, op2_url_filter, op3_token_counts, op4_language_id, op5_packing, op6_decontamination,
-            op7_license_scan, op8_simhash_near_dedup, op9_pii_pseudonyms, op10_token_files, page_language, pipeline,
+            op7_license_scan, op8_simhash_near_dedup, op9_pii_pseudonyms, op10_token_files, document_language, pipeline,
         )
     }
 

@@ -66,6 +66,22 @@ def free_names(columns: list[str], *wanted: str) -> list[str]:
     return out
 
 
+def publish(spark: SparkSession, data: bytes, kind: str) -> str:
+    """Put data into the shared folder and have Spark fetch it to every executor; its name for SparkFiles."""
+    name = f"{kind}-{uuid.uuid4().hex}"
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/docloom/{name}")
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = fs.create(p)
+    try:
+        for at in range(0, len(data), 1 << 24):
+            stream.write(bytearray(data[at : at + (1 << 24)]))
+    finally:
+        stream.close()
+    spark.sparkContext.addFile(fs.makeQualified(p).toString())
+    return name
+
+
 #: Parts that the rows of one key are dealt into where each needs its key's minimum.
 SALTS = 64
 

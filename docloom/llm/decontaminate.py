@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut
+from docloom.llm.common import cut, discard
 
 #: Word positions that a seed looks at; it ignores the others within its span.
 MASKS = ((0, 1, 3, 4, 6, 8), (0, 1, 2, 5, 7, 8), (0, 2, 3, 5, 6, 7))
@@ -67,25 +67,27 @@ def find_overlaps(
     Seeds of documents and benchmark items are joined; hits of a document, an item and a
     distance between their places are merged, and each is verified on the words: some
     window of WINDOW words must agree in SIMILARITY of its places (at an item's edges of
-    at least SPAN words, all of the item). items are those verified, ascending; similarity the best window's share.
+    at least SPAN words, all of the item). items are those verified, ascending, n_overlaps counts the verified
+    alignments (of equal items once), similarity is the best window's share.
 
     An item of fewer than SPAN words overlaps where all of it stands, word for word. Other items overlap no text of fewer than
-    SPAN words. A null text, or an item without words, overlaps nothing. A null id is
-    never contaminated. Rows with a repeated id are verified on their own texts. An empty
-    benchmark or table of documents gives no overlap or no rows. Items with equal words count as the one with
-    the smallest id. Other columns are not read.
+    SPAN words. A null or empty text, or an item without words, overlaps nothing. Rows without an id are judged like all others.
+    Rows with a repeated id are verified on their own texts; repeated rows get equal results. A very long text is one row, whose
+    hits hold an item's words once and a number for each distance. An empty
+    benchmark or table of documents gives no overlap or no rows. Items with equal words are compared as one and all named; items
+    without an id are left out. Other columns are not read.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
     return _verified(base, benchmark, item_col, item_text_col, broadcast_seeds, "doc_id", "_text").drop("_text")
 
 
 def _verified(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, broadcast_seeds: int, id_col: str, text_col: str) -> DataFrame:
-    """docs with contaminated, items, n_overlaps and similarity."""
+    """docs (an id, a text and what is to be kept beside them) with contaminated, items, n_overlaps and similarity."""
     items = cut(
         benchmark.select(F.col(item_col).cast("long").alias("item"), word_hashes(F.col(item_text_col)).alias("ih"))
         .filter("item is not null")
         .groupBy("ih")
-        .agg(F.min("item").alias("item")),
+        .agg(F.min("item").alias("item"), F.sort_array(F.collect_set("item")).alias("ids")),
         "items",
     )
     sizes = [r["n"] for r in items.filter(F.size("ih").between(1, WINDOW - 1)).select(F.size("ih").alias("n")).distinct().collect()]
@@ -100,50 +102,56 @@ def _verified(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_co
             *docs.columns, F.lit(False).alias("contaminated"), F.array().cast("array<long>").alias("items"), F.lit(0).cast("long").alias("n_overlaps"), F.lit(0.0).alias("similarity")
         )
     few = F.broadcast if n_seeds <= broadcast_seeds else lambda df: df
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), word_hashes(F.col(text_col)).alias("h")).filter("_id is not null")
-    found = _places(rows, "h", ["_id"], everywhere)
+    # A row without an id goes by a hash of its text.
+    own_id = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
+    rows = docs.select(own_id.alias("_id"), F.col(id_col).isNull().alias("_bare"), word_hashes(F.col(text_col)).alias("h"))
+    found = _places(rows, "h", ["_id", "_bare"], everywhere)
     for n in whole:
-        found = found.unionByName(_runs(rows, "h", ["_id"], n))
+        found = found.unionByName(_runs(rows, "h", ["_id", "_bare"], n))
     hits = (
         found
         .join(few(seeds), "seed")
-        .groupBy("_id", "item", F.expr("at - item_at").alias("distance"))
-        .agg(F.count("*").alias("n"))
+        .select("_id", "_bare", "item", F.expr("at - item_at").alias("distance"))
+        .distinct()
+        .groupBy("_id", "_bare", "item")
+        .agg(F.collect_list("distance").alias("distances"))
         .join(few(items), "item")
-        .groupBy("_id")
-        .agg(F.collect_list(F.struct("item", "distance", "ih")).alias("hits"))
+        .groupBy("_id", "_bare")
+        .agg(F.collect_list(F.struct("ids", "distances", "ih")).alias("hits"))
     )
     # A hash join of texts to a table that grows with them: always by shuffle, so the cost stays in proportion.
     hits = cut(hits, "hits").hint("merge")
-    # Where the aligned words of a hit agree, from the first aligned word on.
-    scored = """
-        transform(hits, x -> named_struct('item', x.item, 'agree',
-            transform(sequence(greatest(0, -x.distance), least(size(x.ih), size(h) - x.distance) - 1),
-                      k -> if(h[x.distance + k] = x.ih[k], 1, 0))))
+    discard(seeds)
+    discard(items)
+    # Of each item and distance: where the aligned words agree, from the first aligned word on, and the best window's share.
+    first, length = "greatest(0, -d)", "(least(size(x.ih), size(h) - d) - greatest(0, -d))"
+    agree = f"transform(sequence({first}, {first} + {length} - 1), k -> if(h[d + k] = x.ih[k], 1, 0))"
+    share = f"""
+        array_max(transform(array({agree}), g -> array_max(transform(sequence(0, greatest(0, size(g) - {WINDOW})),
+            s -> aggregate(slice(g, s + 1, {WINDOW}), 0, (a, b) -> a + b))) / cast(least({WINDOW}, size(g)) as double)))
     """
     best = f"""
-        transform(scored, x -> named_struct('item', x.item, 'size', size(x.agree), 'share',
-            array_max(transform(sequence(0, greatest(0, size(x.agree) - {WINDOW})),
-                s -> aggregate(slice(x.agree, s + 1, {WINDOW}), 0, (a, b) -> a + b))) / cast(least({WINDOW}, size(x.agree)) as double)))
+        transform(hits, x -> named_struct('ids', x.ids, 'shares', transform(filter(transform(
+            filter(x.distances, d -> {length} >= least({SPAN}, size(x.ih))),
+            d -> named_struct('n', {length}, 'share', {share})),
+            y -> y.share >= if(y.n < {SPAN}, 1.0, {SIMILARITY})), y -> y.share)))
     """
     verified = (
-        docs.join(hits, docs[id_col].cast("long") == hits["_id"], "left")
+        docs.join(hits, (own_id == hits["_id"]) & (F.col(id_col).isNull() == hits["_bare"]), "left")
         .withColumn("h", F.when(F.col("hits").isNotNull(), word_hashes(F.col(text_col))))
-        .withColumn("hits", F.expr(f"filter(hits, x -> least(size(x.ih), size(h) - x.distance) - greatest(0, -x.distance) >= least({SPAN}, size(x.ih)))"))
-        .withColumn("scored", F.expr(scored))
-        .withColumn("best", F.expr(f"filter({best}, x -> x.share >= if(x.size < {SPAN}, 1.0, {SIMILARITY}))"))
+        .withColumn("best", F.expr(f"filter({best}, x -> size(x.shares) > 0)"))
     )
     return verified.select(
         *[docs[c] for c in docs.columns],
         F.coalesce(F.expr("size(best) > 0"), F.lit(False)).alias("contaminated"),
-        F.coalesce(F.expr("array_sort(array_distinct(transform(best, x -> x.item)))"), F.array().cast("array<long>")).alias("items"),
-        F.coalesce(F.expr("cast(size(best) as long)"), F.lit(0).cast("long")).alias("n_overlaps"),
-        F.coalesce(F.expr("array_max(transform(best, x -> x.share))"), F.lit(0.0)).alias("similarity"),
+        F.coalesce(F.expr("array_sort(array_distinct(flatten(transform(best, x -> x.ids))))"), F.array().cast("array<long>")).alias("items"),
+        F.coalesce(F.expr("aggregate(best, 0L, (a, x) -> a + size(x.shares))"), F.lit(0).cast("long")).alias("n_overlaps"),
+        F.coalesce(F.expr("array_max(transform(best, x -> array_max(x.shares)))"), F.lit(0.0)).alias("similarity"),
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that overlap the benchmark; all columns stay."""
-    bare = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"), F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("_rest"))
-    found = _verified(bare, benchmark, "item_id", "text", BROADCAST_SEEDS, "_doc", "_text").filter(~F.col("contaminated"))
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+    """docs without those that overlap the benchmark, as find_overlaps tells; all columns stay, whatever their names."""
+    bare = docs.select(F.col(f"`{id_col}`").alias("_doc"), F.col(f"`{text_col}`").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("_rest"))
+    found = _verified(bare, benchmark, item_col, item_text_col, broadcast_seeds, "_doc", "_text").filter(~F.col("contaminated"))
     return found.select(*[F.col("_text").alias(c) if c == text_col else F.col("_rest")[c].alias(c) for c in docs.columns])

@@ -73,9 +73,10 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, fit_rows: int = FIT_
     repeated rows count as often as they stand. A table without labels gives a model without languages.
     """
     rows = labelled.filter(F.col(label_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("binary").alias("text"))
-    sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
+    drawn = F.pmod(F.xxhash64("text", "label"), F.lit(1 << 30))
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n"), F.min(drawn).alias("least"))
     # As many rows as there are labels; Spark broadcasts them below its size threshold.
-    sample = rows.join(sizes, "label").filter(F.pmod(F.xxhash64("text", "label"), F.lit(1 << 30)) * F.col("n") < fit_rows * (1 << 30)).select("label", "text")
+    sample = rows.join(sizes, "label").filter((drawn * F.col("n") < fit_rows * (1 << 30)) | (drawn == F.col("least"))).select("label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -148,7 +149,7 @@ def identify(docs: DataFrame, model: TextModel, text: Column, declared: Column |
         return docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_language"), F.lit(False).alias("accepted"))
     host = F.lit("") if host is None else F.coalesce(host, F.lit(""))
     declared = F.lit("") if declared is None else F.lower(F.coalesce(declared, F.lit("")))
-    t_, h_, d_, s_, hs_, ds_, ss_ = free_names([*docs.columns, *new], "_text", "_host", "_declared", "_suffix", "_host_sums", "_said_sums", "_suffix_sums")
+    t_, h_, d_, m_, s_, hs_, ms_, ds_, ss_ = free_names([*docs.columns, *new], "_text", "_host", "_declared", "_domain", "_suffix", "_host_sums", "_domain_sums", "_said_sums", "_suffix_sums")
     base = docs.select(*[F.col(f"`{c}`") for c in keep], text.cast("binary").alias(t_), host.alias(h_), declared.alias(d_))
     kept = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -180,23 +181,24 @@ def identify(docs: DataFrame, model: TextModel, text: Column, declared: Column |
     added = [F.sum(c).alias(c) for c in cols]
     hosts = sums.filter("host <> ''")
     everything = np.array(sums.filter("host = ''").agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in cols]).first(), float)
-    by_domain = hosts.groupBy(domain_of(F.col("host")).alias("domain")).agg(*added).select("domain", vector.alias("of_domain"))
-    prior = cut(hosts.select(F.col("host").alias(h_), domain_of(F.col("host")).alias("domain"), vector.alias("own")).join(by_domain, "domain").select(h_, F.concat("own", "of_domain").alias(hs_)), "hosts")
+    of_hosts = cut(hosts.select(F.col("host").alias(h_), vector.alias(hs_)), "hosts")
+    domains = cut(hosts.groupBy(domain_of(F.col("host")).alias(m_)).agg(*added).select(m_, vector.alias(ms_)), "domains")
     said = cut(sums.filter("host = '' and declared <> ''").select(F.col("declared").alias(d_), vector.alias(ds_)), "declared")
     ending = cut(hosts.withColumn("key", suffix_of(F.col("host"))).filter("key <> ''").groupBy("key").agg(*added).select(F.col("key").alias(s_), vector.alias(ss_)), "suffixes")
     discard(sums)
-    full = base.withColumn(s_, suffix_of(F.col(h_))).join(prior, h_, "left").join(said, d_, "left").join(ending, s_, "left")
-    full = full.select(*[F.col(f"`{c}`") for c in keep], t_, hs_, ds_, ss_)
+    full = base.withColumns({m_: domain_of(F.col(h_)), s_: suffix_of(F.col(h_))})
+    full = full.join(of_hosts, h_, "left").join(domains, m_, "left").join(said, d_, "left").join(ending, s_, "left")
+    full = full.select(*[F.col(f"`{c}`") for c in keep], t_, hs_, ms_, ds_, ss_)
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = kept.value
         for b in batches:
-            at = b.num_columns - 4
+            at = b.num_columns - 5
             out: tuple[list, list, list, list] = ([], [], [], [])
-            rest = [b.column(at + j).to_pylist() for j in (1, 2, 3)]
-            for t, of_host, of_declared, of_suffix in zip(b.column(at), *rest, strict=True):
+            rest = [b.column(at + j).to_pylist() for j in (1, 2, 3, 4)]
+            for t, of_host, of_domain, of_declared, of_suffix in zip(b.column(at), *rest, strict=True):
                 ll, letters, fits = m.log_likelihood(t.as_py())
-                p = _softmax(ll + log_evidence(_softmax(ll) if fits else np.zeros(k), everything, of_host, of_declared, of_suffix))
+                p = _softmax(ll + log_evidence(_softmax(ll) if fits else np.zeros(k), everything, of_host, of_domain, of_declared, of_suffix))
                 best = int(p.argmax())
                 out[0].append(m.languages[best])
                 out[1].append(float(p[best]))
@@ -212,18 +214,18 @@ def identify(docs: DataFrame, model: TextModel, text: Column, declared: Column |
     return full.mapInArrow(fuse, schema)
 
 
-def log_evidence(own: np.ndarray, everything: np.ndarray, of_host: list | None, of_declared: list | None, of_suffix: list | None) -> np.ndarray:
+def log_evidence(own: np.ndarray, everything: np.ndarray, of_host: list | None, of_domain: list | None, of_declared: list | None, of_suffix: list | None) -> np.ndarray:
     """Log prior of the host plus log-likelihoods of declaration and suffix, from sums of posteriors less the row's own.
 
-    of_host has the host's sums and then its domain's.
+    A host without sums of its own has its domain's prior.
     """
     k = len(own)
     less = lambda v: np.maximum(np.asarray(v, float) - own, 0.0)
     share = lambda v: v / v.sum()
     rest = less(everything)
     prior = overall = share(rest + 1)
-    if of_host:
-        prior = share(less(of_host[:k]) + SMOOTHING * share(less(of_host[k:]) + SMOOTHING * overall))
+    if of_domain:
+        prior = share(less(of_host or [0.0] * k) + SMOOTHING * share(less(of_domain) + SMOOTHING * overall))
     score = np.log(prior)
     for joint in (of_declared, of_suffix):
         if joint:

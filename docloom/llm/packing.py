@@ -19,7 +19,7 @@ GROUP_TOKENS = 1 << 21
 #: Cost of a piece of n tokens: n + n * n / QUADRATIC_AT, so both terms are equal at that length.
 QUADRATIC_AT = 1024
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double, sequence_cost double"
 
 
 def cost(n: int) -> float:
@@ -67,14 +67,15 @@ def pack(sizes: list[int], length: int = LENGTH) -> list[tuple[int, int, int, in
 def pack_documents(
     docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, group_tokens: int = GROUP_TOKENS
 ) -> DataFrame:
-    """Rows for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, cost.
+    """Rows for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, its cost and its sequence's.
 
     Each task packs the documents of its partition in groups of about group_tokens, in
     order of their tokens, so nothing is shuffled, memory is bounded by a group and the
     longest document, and a repeated task gives the same rows for the same partition.
-    sequence_id has the partition in its upper bits. A null text counts as empty: its one
-    token is the end id. A null id is kept; repeated ids are packed apiece. An empty table
-    yields no rows.
+    sequence_id has the partition in its upper bits. A null or empty text has one token, the end id. A very long
+    text fills sequences of its own and its rest is packed like a document; those sequences cost the most that one can, whatever
+    else is balanced. Documents of equal length are dealt in the order they stand in. A null id is kept; repeated ids and rows are packed apiece. An empty table
+    yields no rows; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,13 +90,14 @@ def pack_documents(
         def flush() -> pa.RecordBatch:
             nonlocal held, done
             rows = pack([len(t) for t in tokens], length)
+            spent = np.bincount([r[3] for r in rows], [cost(r[2]) for r in rows])
             cols = [
                 [ids[d] for d, *_ in rows], [r[1] for r in rows], [r[2] for r in rows],
                 [zlib.crc32(tokens[d][s : s + n].tobytes()) for d, s, n, _, _ in rows],
                 [len(tokens[d]) for d, *_ in rows], [base + done + r[3] for r in rows], [r[4] for r in rows],
             ]
             done += 1 + max((r[3] for r in rows), default=-1)
-            batch = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array([cost(r[2]) for r in rows], pa.float64())], [f.split()[0] for f in SCHEMA.split(", ")])
+            batch = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array([cost(r[2]) for r in rows], pa.float64()), pa.array([spent[r[3]] for r in rows], pa.float64())], [f.split()[0] for f in SCHEMA.split(", ")])
             ids.clear()
             tokens.clear()
             held = 0

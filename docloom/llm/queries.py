@@ -41,7 +41,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wordpiece.count_tokens(table(spark, sf_dir, "documents"), wordpiece.vocabulary(tokenizer_path()))
+    pieces, last = wordpiece.vocabulary(tokenizer_path())
+    return wordpiece.count_tokens(table(spark, sf_dir, "documents"), pieces, last=last)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ import numpy as np
 #: Entries kept by a worker for white-space separated chunks, and for the words within them.
 CHUNKS = 400_000
 WORDS = 400_000
+#: Chunks and words of more characters are encoded anew each time, so the tables are bounded in bytes too.
+LONGEST = 64
 
 _ENCODERS: dict[str, Callable[[bytes | None], np.ndarray]] = {}
 
@@ -63,7 +65,7 @@ def _make(path: str) -> Callable[[bytes | None], np.ndarray]:
         def __missing__(self, word: str) -> bytes:
             mapped = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
             ids = np.array([t.id for t in model.tokenize(mapped)], "<u4").tobytes()
-            if len(self) < WORDS:
+            if len(self) < WORDS and len(word) <= LONGEST:
                 self[word] = ids
             return ids
 
@@ -74,7 +76,7 @@ def _make(path: str) -> Callable[[bytes | None], np.ndarray]:
                 ids = b"".join(map(word_ids, words_of(s.lower())))
             else:
                 ids = library(s).tobytes()
-            if len(self) < CHUNKS:
+            if len(self) < CHUNKS and len(chunk) <= LONGEST:
                 self[chunk] = ids
             return ids
 

@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import json
+import pickle
 import re
 import uuid
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.llm.common import publish
 from docloom.llm.tokens import _byte_letters
 
-#: Chunks whose counts a worker keeps.
-MEMO = 500_000
-#: Bytes of the vocabulary that is sent to the workers, at most.
+#: Chunks whose counts a worker keeps, and bytes of such a chunk.
+MEMO, LONGEST = 500_000, 64
+#: Bytes of a vocabulary that is broadcast, at most; a larger one travels as a file that each machine fetches once.
 VOCABULARY_BYTES = 64 << 20
+#: Stands behind the last byte of a word.
+END = 256
 
 _FIELD = 40
 _MASK = (1 << _FIELD) - 1
@@ -32,23 +37,33 @@ class Automaton:
     node has no way on, the tokens of its path that are certain by then are popped: pops
     has their number, fail the node that stands for the rest. So a word takes time linear in its length,
     while the greedy search that it equals takes quadratic time.
+
+    Pieces of last end a word and match nowhere else: a sign behind each word is their last symbol. The sign alone is a
+    piece that counts nothing, so any piece may end a word too, and of equally long ones it doesn't matter which.
     """
 
-    def __init__(self, begin: Iterable[bytes], go_on: Iterable[bytes] | None = None) -> None:
-        begin = set(begin) - {b""}
+    def __init__(self, begin: Iterable[bytes], go_on: Iterable[bytes] | None = None, last: Iterable[bytes] = ()) -> None:
+        begin, last = set(begin) - {b""}, set(last) - {b""}
         go_on = begin if go_on is None else set(go_on) - {b""}
         self.next: list[dict[int, int]] = [{}, {}]
-        ends: set[int] = set()
+        ends: dict[int, int] = {}
+
+        def add(root: int, piece: Iterable[int], tokens: int) -> None:
+            at = root
+            for c in piece:
+                to = self.next[at].get(c)
+                if to is None:
+                    to = self.next[at][c] = len(self.next)
+                    self.next.append({})
+                at = to
+            ends[at] = tokens
+
         for root, pieces in ((0, begin), (1, go_on)):
             for piece in pieces:
-                at = root
-                for c in piece:
-                    to = self.next[at].get(c)
-                    if to is None:
-                        to = self.next[at][c] = len(self.next)
-                        self.next.append({})
-                    at = to
-                ends.add(at)
+                add(root, piece, 1)
+            for piece in last:
+                add(root, (*piece, END), 1)
+        add(1, (END,), 0)
         self.fail = [-1] * len(self.next)
         self.pops = [0] * len(self.next)
         queue = deque([0, 1])
@@ -57,7 +72,7 @@ class Automaton:
             for c, v in self.next[u].items():
                 queue.append(v)
                 if v in ends:
-                    self.fail[v], self.pops[v] = 1, 1
+                    self.fail[v], self.pops[v] = 1, ends[v]
                     continue
                 z, n = self.fail[u], self.pops[u]
                 while z >= 0 and c not in self.next[z]:
@@ -69,7 +84,7 @@ class Automaton:
     def count(self, word: bytes) -> int:
         """Pieces of a word by greedy longest match; 0 if it can't be cut into pieces."""
         u, n = 0, 0
-        for c in word:
+        for c in (*word, END):
             while c not in self.next[u]:
                 if self.fail[u] < 0:
                     return 0
@@ -84,41 +99,58 @@ class Automaton:
         return n
 
 
-def vocabulary(path: str) -> list[bytes]:
-    """The pieces of a byte-level vocabulary file as bytes, without marks of word ends and special tokens."""
+def vocabulary(path: str) -> tuple[list[bytes], list[bytes]]:
+    """The pieces of a byte-level vocabulary file as bytes, without special tokens: those that go anywhere, and those marked as a word's end."""
     with open(path, encoding="utf-8") as f:
         made = json.load(f)
     special = {t["content"] for t in made.get("added_tokens", [])}
     back = {c: b for b, c in _byte_letters().items()}
-    pieces = {t.removesuffix("</w>") for t in made["model"]["vocab"] if t not in special}
-    return sorted(bytes(back[c] for c in p) for p in pieces if p and all(c in back for c in p))
+    mark = made["model"].get("end_of_word_suffix") or "\0"
+    plain = [t for t in made["model"]["vocab"] if t not in special]
+    as_bytes = lambda pieces: sorted(bytes(back[c] for c in p) for p in pieces if p and all(c in back for c in p))
+    return as_bytes(t for t in plain if not t.endswith(mark)), as_bytes(t.removesuffix(mark) for t in plain if t.endswith(mark))
 
 
 _BUILT: dict[str, Automaton] = {}
 
 
-def count_tokens(docs: DataFrame, pieces: list[bytes], id_col: str = "doc_id", text_col: str = "text", go_on: list[bytes] | None = None) -> DataFrame:
+def _send(spark: SparkSession, value: tuple, limit: int) -> Callable[[], tuple]:
+    """How a worker gets a value: by broadcast, or beyond limit bytes from a file that each machine fetches."""
+    data = pickle.dumps(value)
+    if len(data) <= limit:
+        sent = spark.sparkContext.broadcast(value)
+        return lambda: sent.value
+    name = publish(spark, data, "vocabulary")
+
+    def load() -> tuple:
+        with open(SparkFiles.get(name), "rb") as f:
+            return pickle.load(f)
+
+    return load
+
+
+def count_tokens(
+    docs: DataFrame, pieces: list[bytes], id_col: str = "doc_id", text_col: str = "text", go_on: list[bytes] | None = None, last: list[bytes] = (), limit: int = VOCABULARY_BYTES
+) -> DataFrame:
     """Rows (doc_id, n_bytes, n_words, n_tokens, n_unknown): one per document.
 
     A-Z are lower-cased; runs of letters, runs of digits and single signs are words. A word's
     tokens are the longest pieces from its left, as many as the automaton counts; a word
     that the pieces can't make up is one unknown token. go_on lists the pieces that continue a word, if
-    they differ. The vocabulary is sent to each worker, which builds the automaton once; it is refused
-    beyond VOCABULARY_BYTES. Nothing is shuffled.
+    they differ, last those that only end one. The vocabulary is sent to each worker, which builds the automaton once.
+    Nothing is shuffled.
 
-    A null text counts as empty: all zero. Null or repeated ids give their own rows; other columns are not read.
+    A null or empty text counts as empty: all zero. A very long text is counted whole, in one task. Null or repeated ids and repeated
+    rows give their own rows; an empty table gives none; other columns are not read.
     """
-    size = sum(map(len, pieces)) + sum(map(len, go_on or []))
-    if size > VOCABULARY_BYTES:
-        raise ValueError(f"the vocabulary has {size} bytes, over {VOCABULARY_BYTES}")
     key = uuid.uuid4().hex
-    sent = docs.sparkSession.sparkContext.broadcast((pieces, go_on))
+    sent = _send(docs.sparkSession, (pieces, go_on, last), limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _BUILT.get(key)
         if machine is None:
             _BUILT.clear()
-            machine = _BUILT[key] = Automaton(*sent.value)
+            machine = _BUILT[key] = Automaton(*sent())
 
         class Memo(dict):
             """Tokens, words and unknown words of a chunk, each in a field of an integer."""
@@ -128,7 +160,7 @@ def count_tokens(docs: DataFrame, pieces: list[bytes], id_col: str = "doc_id", t
                 for w in _WORDS(chunk):
                     n = machine.count(w)
                     total += (n or 1) + (1 << _FIELD) + ((not n) << 2 * _FIELD)
-                if len(self) < MEMO:
+                if len(self) < MEMO and len(chunk) <= LONGEST:
                     self[chunk] = total
                 return total
 

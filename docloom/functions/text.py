@@ -121,7 +121,7 @@ def slot(s: Column, rules: tuple = SLOT_RULES) -> Column:
     return F.lit(DEFAULT_SLOT) if out is None else out.otherwise(DEFAULT_SLOT)
 
 
-#: (flag, condition on the stripped text) for signs of a bad extraction (TXT-12).
+# Fixed values: (flag, condition on the stripped text) for signs of a bad extraction (TXT-12).
 ANOMALIES = (
     ("replacement_char", "�"),
     ("pua_glyph", "[\\ue000-\\uf8ff]"),
@@ -132,9 +132,10 @@ ANOMALIES = (
 
 
 def anomalies(s: Column) -> Column:
-    """The flags that hold for a text, in fixed order."""
+    """The flags that hold for a text, in fixed order. What is left without signs at its ends decides if it is too short; nothing left is no flag."""
     t = strip(s)
-    flags = [F.when(t.rlike(p), F.lit(name)) for name, p in ANOMALIES] + [F.when(F.length(t) <= 2, F.lit("too_short"))]
+    left = F.regexp_replace(s, "^[ .:,;-]+|[ .:,;-]+$", "")
+    flags = [F.when(t.rlike(p), F.lit(name)) for name, p in ANOMALIES] + [F.when(F.length(left).between(1, 2), F.lit("too_short"))]
     return F.filter(F.array(*flags), lambda x: x.isNotNull())
 
 
@@ -176,18 +177,28 @@ def production_filename(s: Column) -> Column:
     return s.rlike(r"(?i)\.(?:book|fm|mif|indd|docx?|framemaker)\b")
 
 
+# Model years, and words that are no part of a model's name.
+YEAR = r"\b(19[89]\d|20[0-4]\d)\b"
+NO_MODEL = ("owner's", "owners", "manual", "guide", "navigation")
+
+
 def year(s: Column) -> Column:
     """The first model year, 1980 to 2049 (TXT-14)."""
-    return F.nullif(F.regexp_extract(s, r"\b(19[89]\d|20[0-4]\d)\b", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(s, YEAR, 1), F.lit(""))
 
 
 def identity(text: Column, makers: list[str]) -> Column:
-    """struct(maker, model, year, evidence) read from a cover text (TXT-14)."""
+    """struct(maker, model, year, evidence) read from a cover text (TXT-14).
+
+    The maker is the first of the list that the text holds; the model is made of up to two of the three words behind it that are
+    neither a year nor in NO_MODEL.
+    """
+    text = strip(text)
     low = F.lower(text)
     maker, model = F.lit(None).cast("string"), F.lit(None).cast("string")
     for m in reversed(makers):
-        tail = F.regexp_extract(text, rf"(?iU)\Q{m}\E\s+([A-Za-z0-9][\w-]*(?:\s+[A-Za-z0-9][\w-]*)?)", 1)
-        words = F.filter(F.split(tail, r"(?U)\s+"), lambda w: ~w.rlike(r"^(?:19[89]\d|20[0-4]\d)$") & ~F.lower(w).isin("owner", "owners", "manual", "the", "and") & (w != ""))
+        tail = F.regexp_extract(text, rf"(?iU)\Q{m}\E\s+([A-Za-z0-9][\w-]*(?:\s+[A-Za-z0-9][\w-]*){{0,2}})", 1)
+        words = F.slice(F.filter(F.split(F.regexp_replace(tail, "(?U)" + YEAR, ""), r"(?U)\s+"), lambda w: ~F.btrim(F.lower(w), F.lit(".,")).isin(*NO_MODEL) & (w != "")), 1, 2)
         has = F.contains(low, F.lit(m.lower()))
         maker = F.when(has, F.lit(m)).otherwise(maker)
         model = F.when(has, F.nullif(F.array_join(words, " "), F.lit(""))).otherwise(model)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import content_id, strip
 
+# Units, and numbers with them.
 _TIME = r"(?:seconds?|sec\.?|minutes?|min\.?|hours?|hrs?)"
 _UNITS = r"(?:seconds?|sec\.?|minutes?|min\.?|hours?|hrs?|miles?|mi\.?|km|kilometers?|feet|ft\.?|meters?|m\b|%|percent)"
 NUMBER = rf"([0-9]+(?:\.[0-9]+)?)\s*({_UNITS})"
@@ -80,7 +81,7 @@ def _found(text: Column, lowered: Column, no: int, name: str, kind: str, hint: s
 
 
 def detect(rows: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
-    """A row for each match: the columns of rows and threshold_id, pattern_id, pattern_no, kind, at, matching_text, unit, value, status, evidence.
+    """A row for each match: the columns of rows and threshold_id, pattern_id, pattern_no, kind, at, matching_text, context, unit, value, status, evidence.
 
     A number with a unit within 60 characters of the match seeds the value; for a quantity a
     number in parentheses anywhere does too, kept with its unit. All patterns are tried
@@ -103,7 +104,7 @@ def detect(rows: DataFrame, text: str = "text", source: str = "source") -> DataF
     return df.select(
         *rows.columns,
         content_id(F.lit("threshold"), F.col(source), F.col("matching_text"), F.col("at")).alias("threshold_id"),
-        "pattern_id", "pattern_no", "kind", "at", "matching_text",
+        "pattern_id", "pattern_no", "kind", "at", "matching_text", strip(F.col(text)).alias("context"),
         F.when(seeded & ~quantity, unit).when(seeded, F.col("hint")).otherwise(F.coalesce(named, F.col("hint"))).alias("unit"),
         F.when(seeded, value).alias("value"),
         F.when(seeded, "from_manual").otherwise("unfilled").alias("status"),

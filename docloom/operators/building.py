@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.functions.text import BULLETS, OVERVIEW_SLOT, clean_title, content_id, join_lines, slot, strength, strip, strip_heading_marker
+from docloom.functions.text import BULLETS, OVERVIEW_SLOT, SLOT_RULES, clean_title, content_id, join_lines, slot, strength, strip, strip_heading_marker
 
+# A numbered step, and a step number alone on its line.
 STEP = r"(?U)^\s*([0-9]{1,2})[.)]\s*([A-Z].*?)\s*$"
 ORPHAN = r"(?U)^\s*([0-9]{1,2})[.)]\s*(\(.*\))?\s*$"
 GAP = 15.0
@@ -61,8 +62,8 @@ def split_lines(lines: DataFrame, prefixes: tuple[str, ...] = (), top: str = "to
     return df.withColumns({"island": F.sum(F.col("_opens").cast("int")).over(w), "in_step": head_is_step}).drop("_opens")
 
 
-def steps(split: DataFrame, top: str = "top") -> DataFrame:
-    """Steps (manual_id, section_no, step_no, number, sequence, text, page, top); a number not above the last begins a sequence (BLD-4)."""
+def steps(split: DataFrame, top: str = "top", offset: int = 1) -> DataFrame:
+    """Steps (manual_id, section_no, step_no, number, sequence, text, page, top, source); a number not above the last begins a sequence (BLD-4)."""
     ordered = F.sort_array(F.collect_list(F.struct("page", F.col(top).alias("top"), "line_no", F.when(F.col("is_step"), F.regexp_extract("t", STEP, 2)).otherwise(F.col("t")).alias("t"))))
     made = (
         split.filter("in_step").groupBy(*KEY, "island")
@@ -71,7 +72,7 @@ def steps(split: DataFrame, top: str = "top") -> DataFrame:
     )
     w = W.partitionBy(*KEY).orderBy("island")
     made = made.withColumn("restart", F.coalesce((F.col("number") <= F.lag("number").over(w)).cast("int"), F.lit(0)))
-    return made.select(*KEY, F.row_number().over(w).alias("step_no"), "number", (F.sum("restart").over(w) + 1).cast("int").alias("sequence"), "text", "page", "top")
+    return made.select(*KEY, F.row_number().over(w).alias("step_no"), "number", (F.sum("restart").over(w) + 1).cast("int").alias("sequence"), "text", "page", "top", F.concat(F.lit("p."), (F.col("page") + offset).cast("string"), F.lit(" / step")).alias("source"))
 
 
 def paragraphs(split: DataFrame, top: str = "top") -> DataFrame:
@@ -97,24 +98,24 @@ def split_bullets(text: Column) -> Column:
 
 
 def next_steps(groups: DataFrame, step_rows: DataFrame) -> DataFrame:
-    """groups with next_step_text: the first step strictly after (page, top) in the section (BLD-5).
+    """groups with next_step_text: number and text of the first step strictly after (page, top) in the section (BLD-5).
 
     Both are put in one order and the step carried backwards, so no pairs are formed and each side is read once.
     """
     rest = [c for c in groups.columns if c not in (*KEY, "page", "top", "group_no")]
     a = groups.select(*KEY, "page", "top", "group_no", *rest, F.lit(None).cast("string").alias("step_text"), F.lit(None).cast("int").alias("step_no"))
     empty = [F.lit(None).cast(groups.schema[c].dataType).alias(c) for c in rest]
-    b = step_rows.select(*KEY, "page", "top", F.lit(None).cast("int").alias("group_no"), *empty, F.col("text").alias("step_text"), "step_no")
+    b = step_rows.select(*KEY, "page", "top", F.lit(None).cast("int").alias("group_no"), *empty, F.concat_ws(". ", F.col("number").cast("string"), "text").alias("step_text"), "step_no")
     # A step at the same place is not after the group: it stands before it in this order.
-    w = W.partitionBy(*KEY).orderBy("page", "top", F.col("group_no").isNotNull(), "step_no").rowsBetween(1, W.unboundedFollowing)
+    w = W.partitionBy(*KEY).orderBy("page", "top", F.col("group_no").isNotNull(), "step_text").rowsBetween(1, W.unboundedFollowing)
     both = a.unionByName(b).withColumn("next_step_text", F.first("step_text", ignorenulls=True).over(w))
     return both.filter("group_no is not null").select(*groups.columns, "next_step_text")
 
 
-def requirements(groups: DataFrame, titles: DataFrame, offset: int = 1, citations: DataFrame | None = None) -> DataFrame:
+def requirements(groups: DataFrame, titles: DataFrame, offset: int = 1, citations: DataFrame | None = None, slot_rules: tuple | None = None) -> DataFrame:
     """Requirement rows of paragraphs (BLD-6, BLD-7): overview until a section's first bullet, then by the slot rules.
 
-    titles has manual_id, section_no and title; citations manual_id, page and citation.
+    titles has manual_id, section_no and the title as printed; citations manual_id, page and citation.
     """
     base = groups.withColumn("text", strip_heading_marker(F.col("text"))).filter(F.length("text") >= MIN_LENGTH)
     if "next_step_text" not in base.columns:
@@ -124,11 +125,11 @@ def requirements(groups: DataFrame, titles: DataFrame, offset: int = 1, citation
     ).filter(F.length("source_text") >= MIN_LENGTH)
     w = W.partitionBy(*KEY).orderBy("group_no", "item_no")
     seen = F.max(F.col("is_bullet").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)) == 1
-    items = items.join(titles.select(*KEY, "title"), KEY, "left")
+    items = items.join(titles.select(*KEY, F.col("title").alias("raw_title")), KEY, "left")
     out = items.select(
         *KEY, F.row_number().over(w).alias("req_no"),
-        content_id(F.lit("requirement"), F.col("manual_id"), F.col("title"), F.substring("source_text", 1, ID_PREFIX)).alias("req_id"),
-        F.when(seen, slot(F.concat(F.lit("\n"), F.col("source_text")))).otherwise(OVERVIEW_SLOT).alias("slot"),
+        content_id(F.lit("requirement"), F.col("manual_id"), F.col("raw_title"), F.substring("source_text", 1, ID_PREFIX)).alias("req_id"),
+        F.when(seen, slot(F.concat(F.lit("\n"), F.col("source_text")), slot_rules or SLOT_RULES)).otherwise(OVERVIEW_SLOT).alias("slot"),
         F.when(F.col("source_text").rlike("[.!?]$"), F.col("source_text")).otherwise(F.concat("source_text", F.lit("."))).alias("text"),
         "source_text", strength(F.col("source_text")).alias("strength"),
         F.concat(F.lit("p."), (F.col("page") + offset).cast("string"), F.when(F.col("is_bullet"), " / bullet").otherwise(" / text")).alias("source"),
@@ -140,13 +141,30 @@ def requirements(groups: DataFrame, titles: DataFrame, offset: int = 1, citation
 
 
 def functions(section_lines: DataFrame, heads: DataFrame, offset: int = 1, excluded: tuple[str, ...] = ()) -> DataFrame:
-    """Function rows (manual_id, section_no, function_no, function_id, title, pages) of sections with text (BLD-8, BLD-9, FLT-9)."""
+    """Function rows (manual_id, section_no, chapter_no, function_no, function_id, raw_title, title, area, function_path, pages) of sections with text (BLD-8, BLD-9, FLT-9).
+
+    heads has manual_id, section_no, chapter_no, title, area and page_start. Titles that hold a word of excluded go; the rest is numbered from one in each chapter.
+    """
     pages = section_lines.groupBy(*KEY).agg(F.collect_set("page").alias("ps"))
-    made = heads.join(pages, KEY).withColumn("title", clean_title(F.col("title")))
-    for word in excluded:
-        made = made.filter(~F.contains(F.lower("title"), F.lit(word.lower())))
-    no = F.row_number().over(W.partitionBy("manual_id").orderBy("section_no"))
+    made = heads.join(pages, KEY).select(*KEY, "chapter_no", "page_start", "ps", F.col("title").alias("raw_title"), clean_title(F.col("title")).alias("title"), F.coalesce("area", F.lit("")).alias("area"))
+    made = made.filter(~excluded_title(excluded))
+    no = F.row_number().over(W.partitionBy("manual_id", "chapter_no").orderBy("section_no"))
     return made.select(
-        *KEY, no.alias("function_no"), content_id(F.lit("function"), F.col("manual_id"), F.col("title"), F.col("page_start")).alias("function_id"), "title",
+        *KEY, "chapter_no", no.alias("function_no"), content_id(F.lit("function"), F.col("manual_id"), F.col("area"), F.col("raw_title")).alias("function_id"), "raw_title", "title", "area",
+        F.when(F.col("area") == "", F.col("title")).otherwise(F.concat_ws(" / ", "area", "title")).alias("function_path"),
         F.array_sort(F.array_distinct(F.transform(F.concat("ps", F.array("page_start")), lambda p: p + offset))).alias("pages"),
     )
+
+
+def excluded_title(excluded: tuple[str, ...]) -> Column:
+    """Whether a cleaned title holds one of these words, in any case (FLT-9)."""
+    out = F.lit(False)
+    for word in excluded:
+        out = out | F.contains(F.lower("title"), F.lit(word.lower()))
+    return out
+
+
+def excluded_titles(section_lines: DataFrame, heads: DataFrame, excluded: tuple[str, ...]) -> DataFrame:
+    """Rows (manual_id, section_no, title) of what functions leaves out (FLT-9)."""
+    made = heads.join(section_lines.select(*KEY).distinct(), KEY).select(*KEY, clean_title(F.col("title")).alias("title"))
+    return made.filter(excluded_title(excluded))

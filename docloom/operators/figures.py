@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions.text import content_id, looks_like_label, strip, strip_heading_marker, strip_note_glyph
+from docloom.operators.layout import column_boundaries, drop_margin_glyphs, read_top
 
 MERGE = 3.0
 MIN_SIDE = 40.0
@@ -157,18 +158,24 @@ def qr_caption(caption: Column) -> Column:
     return caption.rlike(r"(?i)^\s*https?://\S+\s*$")
 
 
-def extract(rects: DataFrame, lines: DataFrame, sections: DataFrame, prefixes: tuple[str, ...] = (), min_width: float = MIN_SIDE, min_height: float = MIN_SIDE, distance: float = MERGE) -> DataFrame:
+def extract(rects: DataFrame, lines: DataFrame, sections: DataFrame, prefixes: tuple[str, ...] = (), min_width: float = MIN_SIDE, min_height: float = MIN_SIDE, distance: float = MERGE, columns: int = 1, offset: int = 1) -> DataFrame:
     """Figures with section, caption and id (FIG-7): fills out, merge, size, section, caption, codes out.
 
-    sections has manual_id, section_no, page_start, start_top, e_page, e_top. The start is inclusive here; the first section counts.
+    sections has manual_id, section_no, page_start, start_top, e_page, e_top in reading order; with two columns a figure's place is put into that order first
+    (LAY-3). The start is inclusive here; the first section counts. lines are those of the pages, in their physical places.
     """
-    figs = merge_rects(content_rects(rects), distance).filter(figure_sized(min_width, min_height))
+    figs = merge_rects(content_rects(rects), distance).filter(figure_sized(min_width, min_height)).withColumn("read_top", F.col("top"))
+    if columns > 1:
+        bounds = column_boundaries(drop_margin_glyphs(lines)).select("manual_id", "page", "boundary")
+        figs = figs.join(bounds, ["manual_id", "page"], "left").withColumn("read_top", read_top(F.col("x0"), F.col("top"), F.col("boundary"))).drop("boundary")
     pages = sections.withColumn("page", F.explode(F.sequence("page_start", F.greatest("page_start", "e_page"))))
-    pos = F.struct(F.col("page").alias("p"), F.col("top").alias("t"))
+    pos = F.struct(F.col("page").alias("p"), F.col("read_top").alias("t"))
     inside = (pos >= F.struct(F.col("page_start").alias("p"), F.col("start_top").alias("t"))) & (pos < F.struct(F.col("e_page").alias("p"), F.col("e_top").alias("t")))
     placed = figs.join(pages, ["manual_id", "page"]).filter(inside).groupBy(*KEY, "x0", "top", "x1", "bottom", "n_rects").agg(F.min("section_no").alias("section_no"))
     out = placed.join(captions(placed, lines, prefixes), KEY, "left").filter(~F.coalesce(qr_caption(F.col("caption")), F.lit(False)))
-    return out.withColumn("figure_id", content_id(F.lit("figure"), F.col("page"), F.col("x0"), F.col("top"), F.col("x1"), F.col("bottom")))
+    rect = F.concat_ws(",", *[F.format_string("%.1f", F.bround(c, 1)) for c in ("x0", "top", "x1", "bottom")])
+    # Figures without area have nothing to render.
+    return out.filter("x1 > x0 and bottom > top").withColumns({"figure_id": content_id(F.lit("figure"), F.col("manual_id"), F.col("page"), rect), "printed_page": F.col("page") + offset})
 
 
 def clip(page_width: Column, page_height: Column) -> list[Column]:

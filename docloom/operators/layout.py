@@ -46,7 +46,7 @@ def furniture(lines: DataFrame, header: float = 0.0, footer: float | None = None
 def running_heads(lines: DataFrame, header: float, footer: float | None = None) -> DataFrame:
     """Rows (manual_id, page, citation): the text of the header band, file names left out (FLT-3)."""
     inside = (F.col("top") < header) & ~production_filename(F.col("text")) & (strip(F.col("text")) != "")
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", strip(strip_arrows(F.col("text"))).alias("t"))))
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", strip(F.regexp_replace(strip_arrows(F.col("text")), r"(?U)\s+", " ")).alias("t"))))
     return lines.filter(inside).groupBy("manual_id", "page").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), " ").alias("citation"))
 
 
@@ -65,12 +65,12 @@ def _place() -> list[Column]:
     return [F.bround("top", 1).alias("top10"), F.bround("x0", 1).alias("x10")]
 
 
-def drop_margin_glyphs(lines: DataFrame, pages: int = GLYPH_PAGES) -> DataFrame:
+def drop_margin_glyphs(lines: DataFrame, pages: int = GLYPH_PAGES, by: tuple[str, ...] = ("manual_id",)) -> DataFrame:
     """Lines whose text does not stand at one place on several pages (FLT-4).
 
     Pages are counted by rank over a window, so the lines are read once and stay where their manual is.
     """
-    place = W.partitionBy("manual_id", "_top", "_x", "_norm")
+    place = W.partitionBy(*by, "_top", "_x", "_norm")
     keyed = lines.withColumns({"_top": F.bround("top", 1), "_x": F.bround("x0", 1), "_norm": normalise(F.col("text"))})
     ranked = keyed.withColumn("_page", F.dense_rank().over(place.orderBy("page"))).withColumn("_pages", F.max("_page").over(place))
     return ranked.filter((F.col("_norm") == "") | (F.col("_pages") < pages) | F.col("_norm").isNull()).select(*lines.columns)
@@ -115,8 +115,8 @@ def read_top(x0: Column, top: Column, boundary: Column) -> Column:
 
 
 def header_footer(lines: DataFrame) -> DataFrame:
-    """Rows (manual_id, header, footer): bands whose short lines recur on half of the pages, five at least (LAY-4)."""
-    pages = lines.groupBy("manual_id").agg(F.countDistinct("page").alias("n_pages"), F.count("*").alias("n"))
+    """Rows (manual_id, header, footer): bands whose short lines recur on half of the pages (the last page's number tells how many, rounded down), five at least (LAY-4)."""
+    pages = lines.groupBy("manual_id").agg((F.max("page") + 1).alias("n_pages"), F.count("*").alias("n"))
     ranked = lines.select("manual_id", "top", F.row_number().over(W.partitionBy("manual_id").orderBy("top")).alias("i"))
     middle = ranked.join(pages, "manual_id").filter(F.expr("i = n div 2 + 1")).select("manual_id", F.col("top").alias("mid"))
     short = strip(F.col("text"))
@@ -125,7 +125,7 @@ def header_footer(lines: DataFrame) -> DataFrame:
         .groupBy("manual_id", F.bround(F.col("top") / BAND).alias("band"))
         .agg(F.countDistinct("page").alias("hits"))
         .join(pages, "manual_id")
-        .filter(F.col("hits") >= F.greatest(F.lit(5.0), F.col("n_pages") * 0.5))
+        .filter(F.col("hits") >= F.greatest(F.lit(5), F.floor(F.col("n_pages") * 0.5)))
         .withColumn("at", F.col("band") * BAND)
     )
     w = W.partitionBy("manual_id").orderBy("at")

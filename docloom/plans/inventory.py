@@ -60,7 +60,7 @@ def heading_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_entries(spark: SparkSession, d: str) -> DataFrame:
-    return sections.index_entries(_contents(spark, d))
+    return sections.index_entries(_contents(spark, d)).drop("chapter_no")
 
 
 def toc_subentries(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +76,7 @@ def toc_rows(spark: SparkSession, d: str) -> DataFrame:
 def breadcrumb_runs(spark: SparkSession, d: str) -> DataFrame:
     lines = manual_lines(spark, d).filter("line_no % 30 = 1")
     crumbs = lines.select("manual_id", "page", F.array(F.concat(F.lit("Area "), F.floor(F.col("page") / 6).cast("string")), F.concat(F.lit("Group "), F.floor(F.col("page") / 2).cast("string"))).alias("segments"))
-    return sections.breadcrumb_sections(crumbs)
+    return sections.breadcrumb_sections(crumbs).drop("chapter_no")
 
 
 def heading_evidence(spark: SparkSession, d: str) -> DataFrame:
@@ -123,9 +123,9 @@ def function_files(spark: SparkSession, d: str) -> DataFrame:
 
 def cover_identity(spark: SparkSession, d: str) -> DataFrame:
     makers = ["France", "Germany", "United States", "Japan", "China"]
-    cover = F.concat_ws(" ", F.lit("Manual for"), F.initcap("n_name"), "s_name", (1990 + F.col("s_suppkey") % 40).cast("string"))
+    cover = F.concat_ws(" ", F.lit("Manual for"), F.initcap("n_name"), "s_name", F.lit("Owners Manual"), (1990 + F.col("s_suppkey") % 40).cast("string"))
     df = read(spark, d, "supplier").join(read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return df.select("s_suppkey", T.identity(cover, makers).alias("i")).select("s_suppkey", "i.maker", "i.year", "i.evidence")
+    return df.select("s_suppkey", T.identity(cover, makers).alias("i")).select("s_suppkey", "i.maker", "i.model", "i.year", "i.evidence")
 
 
 def natural_order(spark: SparkSession, d: str) -> DataFrame:
@@ -165,8 +165,9 @@ def function_tree(spark: SparkSession, d: str) -> DataFrame:
 
 def chapters_available(spark: SparkSession, d: str) -> DataFrame:
     sources = read(spark, d, "supplier").select(F.col("s_suppkey").alias("manual_id"), F.when(F.col("s_suppkey") % 2 == 0, "bookmarks").otherwise("running_head").alias("section_source"))
-    confirmed = _chapters(spark, d).filter("manual_id % 3 = 0").select("manual_id", F.col("title").alias("label"))
-    return reports.available_chapters(sources, _chapters(spark, d), confirmed, sections.running_head_chapters(manual_lines(spark, d)))
+    confirmed = _chapters(spark, d).filter("manual_id % 9 = 0").select("manual_id", F.col("title").alias("label"))
+    reviews = sources.filter("manual_id % 3 = 0").select("manual_id")
+    return reports.available_chapters(sources, _chapters(spark, d), confirmed, sections.running_head_chapters(manual_lines(spark, d)), reviews)
 
 
 def review_states(spark: SparkSession, d: str) -> DataFrame:
@@ -216,13 +217,13 @@ def oracle_sql(norm: Callable[[str], str], steps: str, found: str) -> dict[str,
     stripped = rf"regexp_replace(regexp_replace(coalesce(text, ''), '^{space}+', ''), '{space}+$', '')"
     running = f"trim(text) <> '' AND NOT regexp_matches(trim(text), '[.!?:;]$') AND length({norm('text')}) <= 30 AND regexp_matches({norm('text')}, '[a-zA-Z]')"
     heads = f"""
-        seen AS (SELECT DISTINCT manual_id, trim(text) AS label, page FROM lines WHERE {running}),
+        seen AS (SELECT DISTINCT manual_id, {norm('text')} AS label, page FROM lines WHERE {running}),
         runs AS (SELECT *, page - row_number() OVER (PARTITION BY manual_id, label ORDER BY page) AS isl FROM seen),
         heads AS (SELECT manual_id, label, min(page) AS page_start, max(page) + 1 AS page_end FROM runs GROUP BY manual_id, label, isl HAVING count(*) >= 3)
     """
     flags = " || ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN '{name},' ELSE '' END" for name, p in (
         ("replacement_char", r"\x{FFFD}"), ("pua_glyph", r"[\x{e000}-\x{f8ff}]"), ("orphan_lead", r"^[>\]\)\}»”’]"), ("orphan_trail", r"[<\[\(\{«“‘]$"), ("bullet_leftover", "[●•▪○◦]")))
-    flagged = f"rtrim({flags} || CASE WHEN length(t) <= 2 THEN 'too_short,' ELSE '' END, ',')"
+    flagged = f"rtrim({flags} || CASE WHEN length(trim(t, ' .:,;-')) IN (1, 2) THEN 'too_short,' ELSE '' END, ',')"
     slots = " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + f" THEN '{name}'" for name, words in T.SLOT_RULES)
     order = ", ".join(f"'{s}'" for s in T.SLOT_ORDER)
     makers = "CASE " + " ".join(f"WHEN contains(lower(cover), '{m.lower()}') THEN '{m}'" for m in ("France", "Germany", "United States", "Japan", "China")) + " END"
@@ -240,7 +241,7 @@ def oracle_sql(norm: Callable[[str], str], steps: str, found: str) -> dict[str,
         "chapter_lookup": f"WITH {top} SELECT * FROM chapters WHERE starts_with({norm('title')}, 'area 2') QUALIFY row_number() OVER (PARTITION BY manual_id ORDER BY seq) = 1",
         "heading_match": f"""
             WITH {funcs},
-            sub AS (SELECT manual_id, seq, title, area, page_index, {norm('title')} AS norm, greatest(page_index, least(coalesce(lead(page_index) OVER (PARTITION BY manual_id ORDER BY seq), page_index + 2), page_index + 2)) AS last FROM funcs),
+            sub AS (SELECT manual_id, seq, title, area, page_index, {norm('title')} AS norm, greatest(page_index, least(coalesce(lead(page_index) OVER (PARTITION BY manual_id, area ORDER BY seq), (SELECT min(c.page_start) FROM chapters c WHERE c.manual_id = funcs.manual_id AND c.seq > funcs.seq), page_index + 2), page_index + 2)) AS last FROM funcs),
             have AS (SELECT manual_id, page, line_no, top, {norm('text')} AS ln FROM lines),
             hit AS (
               SELECT s.manual_id, s.seq, min(row(CASE WHEN ln = norm THEN 0 ELSE 1 END, line_no, page, top)) AS b
@@ -305,17 +306,17 @@ def oracle_sql(norm: Callable[[str], str], steps: str, found: str) -> dict[str,
         "document_anomalies": f"SELECT doc_id, {flagged} AS flags FROM (SELECT doc_id, {stripped} AS t FROM documents)",
         "function_files": f"SELECT p_partkey, slug, p_partkey || '-' || rtrim(substr(slug, 1, 80), '-') || '.md' AS file, {title_case.format(c=spaced)} AS chapter FROM (SELECT p_partkey, {slug} AS slug FROM part)",
         "cover_identity": f"""
-            WITH c AS (SELECT s_suppkey, 'Manual for ' || {title_case.format(c='n_name')} || ' ' || s_name || ' ' || (1990 + s_suppkey % 40) AS cover FROM supplier JOIN nation ON s_nationkey = n_nationkey)
-            SELECT s_suppkey, {makers} AS maker, CAST(1990 + s_suppkey % 40 AS VARCHAR) AS year, substr(cover, 1, 200) AS evidence FROM c
+            WITH c AS (SELECT s_suppkey, 'Manual for ' || {title_case.format(c='n_name')} || ' ' || s_name || ' Owners Manual ' || (1990 + s_suppkey % 40) AS cover, regexp_extract(s_name, '^[A-Za-z0-9][A-Za-z0-9_-]*') AS model FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+            SELECT s_suppkey, {makers} AS maker, CASE WHEN {makers} IS NOT NULL THEN model END AS model, CAST(1990 + s_suppkey % 40 AS VARCHAR) AS year, substr(cover, 1, 200) AS evidence FROM c
         """,
         "natural_order": "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'notes-' || c_custkey ELSE (c_custkey % 97) || '-file.md' END AS file, CASE WHEN c_custkey % 5 = 0 THEN 1000000000 ELSE c_custkey % 97 END AS n FROM customer",
         "procedure_edges": f"WITH {lines}, {steps} SELECT * FROM (SELECT manual_id, section_no, sequence, step_no AS from_step, lead(step_no) OVER (PARTITION BY manual_id, section_no, sequence ORDER BY step_no) AS to_step FROM steps) WHERE to_step IS NOT NULL",
         "procedure_charts": f"""
             WITH {lines}, {steps},
-            n AS (SELECT manual_id, section_no, string_agg('    s' || step_no || '["' || number || '. ' || CASE WHEN length(text) > 60 THEN substr({label}, 1, 59) || '…' ELSE {label} END || '"]', chr(10) ORDER BY step_no) AS nodes FROM steps GROUP BY ALL),
-            pairs AS (SELECT manual_id, section_no, step_no, lead(step_no) OVER (PARTITION BY manual_id, section_no, sequence ORDER BY step_no) AS nx FROM steps),
-            e AS (SELECT manual_id, section_no, string_agg('    s' || step_no || ' --> s' || nx, chr(10) ORDER BY step_no) AS edges FROM pairs WHERE nx IS NOT NULL GROUP BY ALL)
-            SELECT manual_id, section_no, concat_ws(chr(10), 'flowchart TD', nodes, edges) AS chart FROM n LEFT JOIN e USING (manual_id, section_no)
+            d AS (SELECT *, 'S' || sequence || '_' || number AS node, '    S' || sequence || '_' || number || '["' || (CASE WHEN length(number || '. ' || {label}) > 60 THEN substr(number || '. ' || {label}, 1, 59) || '…' ELSE number || '. ' || {label} END) || '"]' AS box FROM steps),
+            a AS (SELECT *, '    ' || lag(node) OVER (PARTITION BY manual_id, section_no, sequence ORDER BY step_no) || ' --> ' || node AS arrow FROM d),
+            p AS (SELECT manual_id, section_no, sequence, concat_ws(chr(10), '    subgraph SEQ' || sequence || '["Sequence ' || sequence || '"]', '    direction TB', string_agg(box, chr(10) ORDER BY step_no), string_agg(arrow, chr(10) ORDER BY step_no), '    end') AS part FROM a GROUP BY ALL)
+            SELECT manual_id, section_no, 'flowchart TD' || chr(10) || string_agg(part, chr(10) ORDER BY sequence) AS chart FROM p GROUP BY ALL
         """,
         "open_thresholds": f"WITH {found} SELECT manual_id, CAST(line_no // 30 AS INT) AS section_no, count(*) AS n_thresholds, count(*) FILTER (status = 'unfilled') AS n_unfilled FROM found GROUP BY ALL",
         "slot_numbers": f"""
@@ -333,8 +334,8 @@ def oracle_sql(norm: Callable[[str], str], steps: str, found: str) -> dict[str,
         "chapters_available": f"""
             WITH {top}, {heads}
             SELECT c.manual_id, 'bookmarks' AS section_source, title AS label FROM chapters c JOIN supplier ON s_suppkey = manual_id WHERE manual_id % 2 = 0
-            UNION ALL SELECT c.manual_id, 'allowlist', title FROM chapters c JOIN supplier ON s_suppkey = manual_id WHERE manual_id % 2 <> 0 AND manual_id % 3 = 0
-            UNION ALL SELECT h.manual_id, 'running_head', label FROM heads h JOIN supplier ON s_suppkey = manual_id WHERE manual_id % 2 <> 0 AND manual_id NOT IN (SELECT manual_id FROM chapters WHERE manual_id % 3 = 0)
+            UNION ALL SELECT c.manual_id, 'allowlist', title FROM chapters c JOIN supplier ON s_suppkey = manual_id WHERE manual_id % 2 <> 0 AND manual_id % 9 = 0
+            UNION ALL SELECT h.manual_id, 'running_head', label FROM heads h JOIN supplier ON s_suppkey = manual_id WHERE manual_id % 2 <> 0 AND manual_id % 3 <> 0
         """,
         "review_states": f"WITH {top}, n AS (SELECT manual_id, count(*) AS n FROM chapters GROUP BY ALL) SELECT manual_id, manual_id % 3 = 0 AS reviewed, CASE WHEN manual_id % 3 = 0 THEN n ELSE 0 END AS n_confirmed, CASE WHEN manual_id % 3 = 0 THEN 'ready' ELSE 'needs_review' END AS state FROM n",
         "recurring_labels": f"WITH {marks} SELECT manual_id, seq, title AS label, count(*) OVER (PARTITION BY manual_id, title) AS recurs FROM marks",

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.functions.thresholds import PATTERNS, detect
 from docloom.operators import building, figures, layout, overlay, reports, sections
-from docloom.plans import inventory
-from docloom.plans.generate import generate
-from docloom.sources import fixtures, profiles
+from docloom.plans import inventory, spec
+from docloom.sources import fixtures
 from docloom.sources.fixtures import manual_lines, read
 
 HEADER, FOOTER = 75.0, 400.0
@@ -81,8 +80,8 @@ def bullet_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def section_cut(spark: SparkSession, d: str) -> DataFrame:
-    lines = manual_lines(spark, d)
-    heads = sections.font_headings(lines).withColumn("chapter_end", F.lit(None).cast("int"))
+    lines = layout.drop_margin_glyphs(manual_lines(spark, d))
+    heads = sections.font_headings(lines)
     return sections.cut_sections(heads, lines).groupBy("manual_id", "section_no").agg(F.count("*").alias("n_lines"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
 
 
@@ -152,10 +151,6 @@ def repeated_lines(spark: SparkSession, d: str) -> DataFrame:
     return lines.groupBy("line").agg(F.countDistinct("doc_id").alias("n_docs")).filter("n_docs >= 3")
 
 
-def figure_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return profiles.figure_thresholds(fixtures.manual_rects(manual_lines(spark, d)))
-
-
 def rect_merge(spark: SparkSession, d: str) -> DataFrame:
     return figures.merge_rects(figures.content_rects(fixtures.manual_rects(manual_lines(spark, d))))
 
@@ -165,34 +160,15 @@ def figure_captions(spark: SparkSession, d: str) -> DataFrame:
     return figures.captions(figures.merge_rects(figures.content_rects(fixtures.manual_rects(lines))), lines, ("Using",))
 
 
-def _spec(spark: SparkSession, d: str, keep: bool = False):
-    lines = manual_lines(spark, d)
-    return generate(lines, fixtures.manual_bookmarks(lines), keep=keep)
-
-
-def function_counts(spark: SparkSession, d: str) -> DataFrame:
-    s = _spec(spark, d, keep=True)
-    return reports.function_counts(s.functions, s.steps, s.requirements, s.thresholds)
-
-
-def spec_requirements(spark: SparkSession, d: str) -> DataFrame:
-    return _spec(spark, d).requirements.drop("page_citation")
-
-
-def function_pages(spark: SparkSession, d: str) -> DataFrame:
-    s = _spec(spark, d, keep=True)
-    return reports.function_pages(s.functions, s.requirements, s.steps, s.thresholds.withColumn("line_no", F.col("req_no")))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             threshold_scan, threshold_rows, furniture_filter, running_head_chapters, margin_glyphs, column_boundary, column_order, header_footer_bands, font_headings, step_sequences,
             paragraph_groups, next_step, bullet_items, section_cut, strength_mix, overlay_latest, overlay_merge, overlay_orphans, glossary_hits, wording_collisions, stale_keys, rollup_by_maker,
-            normalise_documents, repeated_lines, figure_sizes, rect_merge, figure_captions, function_counts, spec_requirements, function_pages,
+            normalise_documents, repeated_lines, rect_merge, figure_captions,
         )
-    } | inventory.queries()
+    } | inventory.queries() | spec.queries()
 
 
 def _norm(c: str) -> str:
@@ -200,24 +176,29 @@ def _norm(c: str) -> str:
 
 
 def _threshold_ctes() -> str:
+    return f"lines AS ({fixtures.lines_sql()}), {_found_ctes('lines', 'manual_id, line_no, page, q, text', 'text', "'p.' || CAST(page + 1 AS VARCHAR) || ' / text'")}"
+
+
+def _found_ctes(relation: str, keep: str, text: str, source: str) -> str:
+    """found: the thresholds of a relation's texts, with the columns to keep."""
     unit = r"(?:seconds?|sec\.?|minutes?|min\.?|hours?|hrs?|miles?|mi\.?|km|kilometers?|feet|ft\.?|meters?|m\b|%|percent)"
     number, paren = rf"(\d+(?:\.\d+)?)\s*({unit})", rf"\(\s*(\d+(?:\.\d+)?)\s*({unit})\s*\)"
     parts = " UNION ALL ".join(
-        f"SELECT manual_id, line_no, page, q, text, '{name}' AS pattern_id, '{kind}' AS kind, {f"'{hint}'" if hint else 'NULL::VARCHAR'} AS hint, unnest(regexp_extract_all(text, '(?i){pattern}', 0)) AS matching_text FROM lines"
+        f"SELECT {keep}, '{name}' AS pattern_id, '{kind}' AS kind, {f"'{hint}'" if hint else 'NULL::VARCHAR'} AS hint, unnest(regexp_extract_all({text}, '(?i){pattern}', 0)) AS matching_text FROM {relation}"
         for name, kind, hint, pattern in PATTERNS
     )
     return f"""
-        lines AS ({fixtures.lines_sql()}),
         hits AS ({parts}),
-        placed AS (SELECT *, CAST(strpos(text, matching_text) - 1 AS INT) AS "at" FROM hits),
-        win AS (SELECT *, trim(substr(text, greatest("at" - 60, 0) + 1, least("at" + length(matching_text) + 60, length(text)) - greatest("at" - 60, 0))) AS w FROM placed),
-        num AS (SELECT *, regexp_matches(w, '(?i){number}') AS near, kind = 'quantity' AND regexp_matches(text, '(?i){paren}') AS far FROM win),
+        placed AS (SELECT h.*, CAST(strpos(CASE WHEN k = 1 THEN {text} ELSE {text} END, matching_text) - 1 AS INT) AS first_at, k FROM (SELECT *, row_number() OVER (PARTITION BY {keep}, pattern_id, matching_text) AS k FROM hits) h),
+        spots AS (SELECT *, CASE WHEN k = 1 THEN first_at ELSE CAST(length(list_reduce(list_slice(string_split({text}, matching_text), 1, k), lambda a, b: a || matching_text || b)) AS INT) END AS "at" FROM placed),
+        near_text AS (SELECT *, trim(substr({text}, greatest("at" - 60, 0) + 1, least("at" + length(matching_text) + 60, length({text})) - greatest("at" - 60, 0))) AS w FROM spots),
+        num AS (SELECT *, regexp_matches(w, '(?i){number}') AS near, kind = 'quantity' AND regexp_matches({text}, '(?i){paren}') AS far FROM near_text),
         vals AS (
-          SELECT *, CASE WHEN near THEN regexp_extract(w, '(?i){number}', 1) WHEN far THEN regexp_extract(text, '(?i){paren}', 1) END AS v,
-                 CASE WHEN near THEN regexp_extract(w, '(?i){number}', 2) WHEN far THEN regexp_extract(text, '(?i){paren}', 2) END AS u FROM num),
+          SELECT *, CASE WHEN near THEN regexp_extract(w, '(?i){number}', 1) WHEN far THEN regexp_extract({text}, '(?i){paren}', 1) END AS v,
+                 CASE WHEN near THEN regexp_extract(w, '(?i){number}', 2) WHEN far THEN regexp_extract({text}, '(?i){paren}', 2) END AS u FROM num),
         found AS (
-          SELECT manual_id, line_no, q, pattern_id, kind, "at", matching_text,
-                 substr(sha256(concat_ws(chr(31), 'threshold', 'p.' || CAST(page + 1 AS VARCHAR) || ' / text', matching_text, CAST("at" AS VARCHAR))), 1, 12) AS threshold_id,
+          SELECT {keep}, pattern_id, kind, "at", matching_text,
+                 substr(sha256(concat_ws(chr(31), 'threshold', {source}, matching_text, CAST("at" AS VARCHAR))), 1, 12) AS threshold_id,
                  CASE WHEN v IS NOT NULL AND kind <> 'quantity' THEN u WHEN v IS NOT NULL THEN hint
                       WHEN pattern_id = 'vague_few_duration' THEN regexp_extract(matching_text, '(?i)(seconds?|sec\\.?|minutes?|min\\.?|hours?|hrs?)$', 1) ELSE hint END AS unit,
                  CASE WHEN v IS NOT NULL AND kind = 'quantity' THEN v || ' ' || u ELSE v END AS value,
@@ -287,7 +268,7 @@ def oracle_sql() -> dict[str, str]:
         """,
         "running_head_chapters": f"""
             WITH {lines},
-            seen AS (SELECT DISTINCT manual_id, trim(text) AS label, page FROM lines WHERE trim(text) <> '' AND NOT regexp_matches(trim(text), '[.!?:;]$') AND length({_norm('text')}) <= 30 AND regexp_matches({_norm('text')}, '[a-zA-Z]')),
+            seen AS (SELECT DISTINCT manual_id, {_norm('text')} AS label, page FROM lines WHERE trim(text) <> '' AND NOT regexp_matches(trim(text), '[.!?:;]$') AND length({_norm('text')}) <= 30 AND regexp_matches({_norm('text')}, '[a-zA-Z]')),
             r AS (SELECT *, page - row_number() OVER (PARTITION BY manual_id, label ORDER BY page) AS isl FROM seen)
             SELECT manual_id, label, min(page) AS page_start, max(page) + 1 AS page_end FROM r GROUP BY manual_id, label, isl HAVING count(*) >= 3
         """,
@@ -299,9 +280,9 @@ def oracle_sql() -> dict[str, str]:
         """,
         "header_footer_bands": f"""
             WITH {lines},
-            pg AS (SELECT manual_id, count(DISTINCT page) AS n_pages, count(*) AS n FROM lines GROUP BY ALL),
+            pg AS (SELECT manual_id, max(page) + 1 AS n_pages, count(*) AS n FROM lines GROUP BY ALL),
             mid AS (SELECT manual_id, list_sort(list(top))[CAST(floor(count(*) / 2) AS INT) + 1] AS mid FROM lines GROUP BY ALL),
-            bands AS (SELECT manual_id, round_even(top / 5, 0) * 5 AS band FROM lines JOIN pg USING (manual_id) WHERE trim(text) <> '' AND length(trim(text)) <= 60 GROUP BY ALL HAVING count(DISTINCT page) >= greatest(5, any_value(n_pages) * 0.5)),
+            bands AS (SELECT manual_id, round_even(top / 5, 0) * 5 AS band FROM lines JOIN pg USING (manual_id) WHERE trim(text) <> '' AND length(trim(text)) <= 60 GROUP BY ALL HAVING count(DISTINCT page) >= greatest(5, any_value(n_pages) // 2)),
             g AS (SELECT *, lead(band) OVER w AS nx, row_number() OVER w AS i FROM bands WINDOW w AS (PARTITION BY manual_id ORDER BY band)),
             c AS (SELECT manual_id, count(*) AS k, min(band) AS one, max(CASE WHEN nx IS NOT NULL THEN row(nx - band, i, band, nx) END) AS m FROM g GROUP BY ALL)
             SELECT manual_id, CASE WHEN k = 1 AND one < mid THEN one + 5 WHEN k > 1 THEN m[3] + 5 ELSE 0 END AS header, CASE WHEN k = 1 AND one >= mid THEN one - 5 WHEN k > 1 THEN m[4] - 5 END AS footer
@@ -312,13 +293,13 @@ def oracle_sql() -> dict[str, str]:
             WITH {lines}, {fonts},
             win AS (SELECT *, lead(page_start) OVER w AS p2, lead(start_top) OVER w AS t2 FROM heads WINDOW w AS (PARTITION BY manual_id ORDER BY seq))
             SELECT l.manual_id, seq AS section_no, count(*) AS n_lines, min(line_no) AS first_line, max(line_no) AS last_line
-            FROM lines l JOIN win h ON l.manual_id = h.manual_id AND (page, top) > (page_start, start_top) AND (p2 IS NULL OR (page, top) < (p2, t2)) GROUP BY ALL
+            FROM body l JOIN win h ON l.manual_id = h.manual_id AND (page, top) > (page_start, start_top) AND (p2 IS NULL OR (page, top) < (p2, t2)) GROUP BY ALL
         """,
         "step_sequences": f"WITH {lines}, {split} SELECT manual_id, section_no, step_no, number, sequence, text, top FROM steps",
         "paragraph_groups": f"WITH {lines}, {split} SELECT * FROM groups",
         "next_step": f"""
             WITH {lines}, {split}
-            SELECT g.manual_id, g.section_no, g.group_no, (SELECT arg_min(s.text, s.step_no) FROM steps s WHERE s.manual_id = g.manual_id AND s.section_no = g.section_no AND s.top > g.top) AS next_step_text FROM groups g
+            SELECT g.manual_id, g.section_no, g.group_no, (SELECT arg_min(s.number || '. ' || s.text, s.top) FROM steps s WHERE s.manual_id = g.manual_id AND s.section_no = g.section_no AND s.top > g.top) AS next_step_text FROM groups g
         """,
         "bullet_items": f"""
             WITH {lines},
@@ -351,4 +332,4 @@ def oracle_sql() -> dict[str, str]:
         "rollup_by_maker": f"WITH {sources} SELECT maker, count(*) AS n_manuals, count(*) FILTER (license_state = 'internal_use_permitted') AS n_viewable, count(*) FILTER (coalesce(license_state, '') <> 'internal_use_permitted') AS n_blocked FROM src GROUP BY ALL",
         "normalise_documents": f"SELECT doc_id, CAST(length({_norm('text')}) AS INT) AS n_normal, substr(sha256({_norm('text')}), 1, 12) AS norm_id FROM documents",
         "repeated_lines": "SELECT line, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3",
-    } | inventory.oracle_sql(_norm, split, found)
+    } | inventory.oracle_sql(_norm, split, found) | spec.oracle_sql(_norm, _found_ctes)

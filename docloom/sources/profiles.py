@@ -146,11 +146,12 @@ def derive_source(depth: DataFrame, toc: DataFrame, heads: DataFrame, lines: Dat
     return df.select("manual_id", F.when(F.col("chapter_shaped"), "bookmarks").when(F.col("toc"), "chapter_toc").when(heads_ok, "running_head").otherwise("undetermined").alias("section_source"))
 
 
-def review_status(candidates: DataFrame, allowlist: DataFrame) -> DataFrame:
-    """ready where a reviewer has confirmed chapters, needs_review else (LAY-13); never reviewed and none confirmed differ by the flag."""
-    reviewed = allowlist.groupBy("manual_id").agg(F.count("label").alias("n_confirmed")).withColumn("reviewed", F.lit(True))
+def review_status(candidates: DataFrame, allowlist: DataFrame, reviews: DataFrame | None = None) -> DataFrame:
+    """ready where a reviewer has confirmed a list, even an empty one; needs_review else (LAY-13, SRC-14). reviews has a row for each manual reviewed; without it the list's rows tell."""
+    listed = allowlist.groupBy("manual_id").agg(F.count("label").alias("n_confirmed"))
+    reviewed = (allowlist if reviews is None else reviews).select("manual_id").distinct().join(listed, "manual_id", "left").withColumn("reviewed", F.lit(True))
     return candidates.select("manual_id").distinct().join(reviewed, "manual_id", "left").select(
-        "manual_id", F.coalesce("reviewed", F.lit(False)).alias("reviewed"), F.coalesce("n_confirmed", F.lit(0)).alias("n_confirmed"), F.when(F.col("n_confirmed") > 0, "ready").otherwise("needs_review").alias("state")
+        "manual_id", F.coalesce("reviewed", F.lit(False)).alias("reviewed"), F.coalesce("n_confirmed", F.lit(0).cast("long")).alias("n_confirmed"), F.when(F.col("reviewed"), "ready").otherwise("needs_review").alias("state")
     )
 
 

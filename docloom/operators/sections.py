@@ -242,10 +242,10 @@ def toc_rows(lines: DataFrame) -> DataFrame:
 
 
 def toc_subentries(lines: DataFrame) -> DataFrame:
-    """Rows (manual_id, line_no, name, number): all `name..... number` parts of a line (TVF-3)."""
+    """Rows (manual_id, line_no, entry_no, name, number): all `name..... number` parts of a line (TVF-3)."""
     pair = r"([^0-9].*?)\.{2,}\s*([0-9]{1,4})"
     names, numbers = F.regexp_extract_all("text", F.lit(pair), F.lit(1)), F.regexp_extract_all("text", F.lit(pair), F.lit(2))
-    return lines.select("manual_id", "line_no", F.inline(F.arrays_zip(names.alias("name"), numbers.alias("number")))).select("manual_id", "line_no", F.btrim("name", F.lit(" ·")).alias("name"), F.col("number").cast("int").alias("number"))
+    return lines.select("manual_id", "line_no", F.posexplode(F.arrays_zip(names.alias("name"), numbers.alias("number"))).alias("entry_no", "x")).select("manual_id", "line_no", "entry_no", F.btrim("x.name", F.lit(" ·")).alias("name"), F.col("x.number").cast("int").alias("number"))
 
 
 def toc_chapters(lines: DataFrame, offset: int = 1) -> DataFrame:
@@ -273,13 +273,13 @@ def toc_chapters(lines: DataFrame, offset: int = 1) -> DataFrame:
     new = F.coalesce(F.col("top") - F.lag("top").over(order) > TOC_ROW, F.lit(True)).cast("int")
     placed = near.withColumn("new", new).withColumn("row_no", F.sum("new").over(order))
     subs = toc_subentries(placed.select("manual_id", "line_no", "text")).join(placed.select("manual_id", "line_no", "page", "row_no", "top"), ["manual_id", "line_no"])
-    marks = rows.select("manual_id", "page", "row_no", F.lit(-1).alias("line_no"), F.lit(None).cast("string").alias("sub"), "k").unionByName(
-        subs.select("manual_id", "page", "row_no", "line_no", F.col("name").alias("sub"), F.lit(None).cast("int").alias("k"))
+    marks = rows.select("manual_id", "page", "row_no", F.lit(-1).alias("line_no"), F.lit(0).alias("entry_no"), F.lit(None).cast("string").alias("sub"), "k").unionByName(
+        subs.select("manual_id", "page", "row_no", "line_no", "entry_no", F.col("name").alias("sub"), F.lit(None).cast("int").alias("k"))
     )
-    own = marks.withColumn("k", F.last("k", True).over(W.partitionBy("manual_id").orderBy("page", "row_no", "line_no").rowsBetween(W.unboundedPreceding, 0)))
+    own = marks.withColumn("k", F.last("k", True).over(W.partitionBy("manual_id").orderBy("page", "row_no", "line_no", "entry_no").rowsBetween(W.unboundedPreceding, 0)))
     # The row of a chapter itself holds none of its sub-entries.
     clean = own.join(rows.select("manual_id", F.col("page").alias("page_"), F.col("row_no").alias("row_"), "k"), ["manual_id", "k"]).filter("sub is not null and not (page = page_ and row_no = row_)")
-    told = clean.groupBy("manual_id", "k").agg(F.transform(F.sort_array(F.collect_list(F.struct("page", "row_no", "line_no", "sub"))), lambda x: x["sub"]).alias("evidence"))
+    told = clean.groupBy("manual_id", "k").agg(F.transform(F.sort_array(F.collect_list(F.struct("page", "row_no", "line_no", "entry_no", "sub"))), lambda x: x["sub"]).alias("evidence"))
     return good.join(told, ["manual_id", "k"], "left").join(pages, "manual_id").select(
         "manual_id", F.col("name").alias("label"), "page_start", F.coalesce("next", "n_pages").alias("page_end"), F.col("number").alias("printed_page"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence")
     )

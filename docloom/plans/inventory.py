@@ -256,7 +256,7 @@ def oracle_sql(norm: Callable[[str], str], steps: str, found: str) -> dict[str,
             enough AS (SELECT * FROM once QUALIFY count(*) OVER (PARTITION BY manual_id) >= 5)
             SELECT manual_id, CAST(row_number() OVER (PARTITION BY manual_id ORDER BY seq) - 1 AS INT) AS entry_no, name, p AS printed_page FROM enough
         """,
-        "toc_subentries": f"WITH {marks} SELECT manual_id, seq AS line_no, title AS name, page_index + 1 AS number FROM marks WHERE level = 1",
+        "toc_subentries": f"WITH {marks} SELECT manual_id, seq AS line_no, 0 AS entry_no, title AS name, page_index + 1 AS number FROM marks WHERE level = 1",
         "toc_rows": f"WITH {marks} SELECT manual_id, seq // 20 AS page, dense_rank() OVER (PARTITION BY manual_id, seq // 20 ORDER BY seq) AS row_no, title AS name, page_index + 1 AS number FROM marks WHERE level = 1",
         "breadcrumb_runs": f"""
             WITH {lines}, pages AS (SELECT DISTINCT manual_id, page, page // 6 AS a, page // 2 AS g FROM lines WHERE line_no % 30 = 1),
@@ -315,8 +315,8 @@ def oracle_sql(norm: Callable[[str], str], steps: str, found: str) -> dict[str,
             WITH {lines}, {steps},
             d AS (SELECT *, 'S' || sequence || '_' || number AS node, '    S' || sequence || '_' || number || '["' || (CASE WHEN length(number || '. ' || {label}) > 60 THEN substr(number || '. ' || {label}, 1, 59) || '…' ELSE number || '. ' || {label} END) || '"]' AS box FROM steps),
             a AS (SELECT *, '    ' || lag(node) OVER (PARTITION BY manual_id, section_no, sequence ORDER BY step_no) || ' --> ' || node AS arrow FROM d),
-            p AS (SELECT manual_id, section_no, sequence, concat_ws(chr(10), '    subgraph SEQ' || sequence || '["Sequence ' || sequence || '"]', '    direction TB', string_agg(box, chr(10) ORDER BY step_no), string_agg(arrow, chr(10) ORDER BY step_no), '    end') AS part FROM a GROUP BY ALL)
-            SELECT manual_id, section_no, 'flowchart TD' || chr(10) || string_agg(part, chr(10) ORDER BY sequence) AS chart FROM p GROUP BY ALL
+            p AS (SELECT manual_id, section_no, sequence, concat_ws(chr(10), '    subgraph SEQ' || sequence || '["Sequence ' || sequence || '"]', '    direction TB', string_agg(box, chr(10) ORDER BY step_no), string_agg(arrow, chr(10) ORDER BY step_no), '    end') AS part FROM a GROUP BY manual_id, section_no, sequence)
+            SELECT manual_id, section_no, 'flowchart TD' || chr(10) || string_agg(part, chr(10) ORDER BY sequence) AS chart FROM p GROUP BY manual_id, section_no
         """,
         "open_thresholds": f"WITH {found} SELECT manual_id, CAST(line_no // 30 AS INT) AS section_no, count(*) AS n_thresholds, count(*) FILTER (status = 'unfilled') AS n_unfilled FROM found GROUP BY ALL",
         "slot_numbers": f"""

@@ -133,7 +133,7 @@ def test_end_to_end(spark):
     marks = [("Navigation", 0, 0), ("Searching", 1, 0), ("Route", 1, 1), ("Audio", 0, 2), ("Radio", 1, 2)]
     bm = spark.createDataFrame([(1, k, t, lv, p) for k, (t, lv, p) in enumerate(marks)], "manual_id long, seq int, title string, level int, page_index int")
     spec = generate(df, bm)
-    assert [r.title for r in spec.functions.orderBy("function_no").collect()] == ["Searching", "Route", "Radio"]
+    assert [r.title for r in spec.functions.orderBy("section_no").collect()] == ["Searching", "Route", "Radio"]
     assert spec.steps.count() == 3
     assert [(r.kind, r.status) for r in spec.thresholds.collect()] == [("duration", "unfilled")]
 

@@ -74,8 +74,8 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, fit_rows: int = FIT_
     """
     rows = labelled.filter(F.col(label_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("binary").alias("text"))
     drawn = F.pmod(F.xxhash64("text", "label"), F.lit(1 << 30))
-    sizes = rows.groupBy("label").agg(F.count("*").alias("n"), F.min(drawn).alias("least"))
-    # As many rows as there are labels; Spark broadcasts them below its size threshold.
+    # As many rows as there are labels. Written, so Spark knows their size and broadcasts them below its threshold before any text is shuffled.
+    sizes = cut(rows.groupBy("label").agg(F.count("*").alias("n"), F.min(drawn).alias("least")), "labels")
     sample = rows.join(sizes, "label").filter((drawn * F.col("n") < fit_rows * (1 << 30)) | (drawn == F.col("least"))).select("label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,6 +104,7 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, fit_rows: int = FIT_
         at = b.column(1).to_numpy(), np.array([place[x] for x in b.column(0).to_pylist()], np.int64)
         table[at], own[at] = b.column(2).to_numpy(), b.column(3).to_numpy()
     discard(counted)
+    discard(sizes)
     weights = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * BUCKETS))
     own /= np.maximum(own.sum(axis=0), 1)
     mean = (own * weights).sum(axis=0)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions.thresholds import detect
 from docloom.operators import building, figures, layout, sections
+from docloom.sources import tables
 
 BY = ["manual_id", "chapter_no"]
 #: section_no is a chapter's number times this plus the section's number in it.
@@ -29,12 +29,12 @@ class Spec:
     figures: DataFrame | None = None
     excluded: DataFrame | None = None
     unmatched: DataFrame | None = None
-    kept: tuple[DataFrame, ...] = ()
+    kept: tuple[str, ...] = ()
 
     def release(self) -> None:
-        """Give up the parts that generate kept."""
-        for df in self.kept:
-            df.unpersist()
+        """Delete the tables of the parts that generate kept; nothing of this Spec can be read afterwards."""
+        for path in self.kept:
+            tables.remove(self.sections.sparkSession, path)
 
 
 def chapters_of(bookmarks: DataFrame) -> DataFrame:
@@ -122,15 +122,17 @@ def generate(
     """Functions of all manuals (BLD-10). Header citations are read before furniture goes, furniture before columns are put in order.
 
     Chapters without nested bookmarks are cut by breadcrumbs (if given), their own index or font sizes; without bookmarks a manual is one chapter, cut
-    by font sizes. With rects figures are extracted. With keep, what several outputs share is computed once and held in
-    memory or on the executors' disks until release(); what a lost executor held is computed again.
+    by font sizes. With rects figures are extracted. With keep, what several outputs share is computed at once and written to
+    the shared folder, where it stays until release(): a lost executor costs nothing of it, and plans over it stay short.
     """
-    held: list[DataFrame] = []
+    held: list[str] = []
 
     def hold(df: DataFrame) -> DataFrame:
-        if keep:
-            held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return df
+        if not keep:
+            return df
+        back, path = tables.store(df)
+        held.append(path)
+        return back
 
     lines = hold(lines)
     bookmarks = None if bookmarks is None else hold(bookmarks)

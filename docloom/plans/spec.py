@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +30,9 @@ def _spec(spark: SparkSession, d: str, **more):
 
 def cascade_sections(spark: SparkSession, d: str) -> DataFrame:
     lines = manual_lines(spark, d).drop("q", "p_name")
-    lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
-    heads, cut_lines, plan = cut(lines, _marks(lines), hold=lambda df: df.persist(StorageLevel.MEMORY_AND_DISK))
+    hold = lambda df: tables.store(df)[0]
+    lines = hold(lines)
+    heads, cut_lines, plan = cut(lines, hold(_marks(lines)), hold=hold)
     n = cut_lines.groupBy(*KEY).agg(F.count("*").alias("n_lines"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
     return heads.join(n, KEY).join(plan.select("manual_id", "chapter_no", "strategy"), ["manual_id", "chapter_no"]).select(*KEY, "title", "area", "strategy", "n_lines", "first_line", "last_line")
 

@@ -281,7 +281,7 @@ def test_pseudonyms(spark):
 
 
 def test_feistel_is_a_permutation(spark):
-    df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("s")).select(pii.permute_digits(F.col("s"), "k", "t").alias("p"))
+    df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("s")).select(pii.permute_digits(F.col("s"), F.lit("k"), "t").alias("p"))
     assert sorted(r.p for r in df.collect()) == [f"{k:03d}" for k in range(1000)]
 
 

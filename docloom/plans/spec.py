@@ -455,9 +455,10 @@ def oracle_sql(norm: Callable[[str], str], found: Callable[..., str]) -> dict[st
             SELECT manual_id, 'area 2' AS label, min(page) AS page_start, max(page) + 1 AS page_end FROM pg GROUP BY ALL HAVING count(*) >= 3
         """,
         "glossary_table": f"""
-            WITH {lines}, words AS (SELECT p_name AS term_id, lower(p_name) AS w, min(p_partkey) % 2 = 0 AS any_maker FROM part GROUP BY ALL),
-            makers AS (SELECT s_suppkey AS manual_id, CASE WHEN s_suppkey % 10 = 0 THEN '' ELSE n_name END AS maker FROM supplier JOIN nation ON s_nationkey = n_nationkey)
-            SELECT manual_id, term_id, CAST(sum((length(text) - length(replace(lower(text), w, ''))) // length(w)) AS BIGINT) AS hits, CAST(1 AS INT) AS n_wordings FROM lines JOIN makers USING (manual_id) JOIN words ON contains(lower(text), w) AND (any_maker OR maker = '' OR lower(maker) = 'brazil') GROUP BY ALL
+            WITH {lines}, low AS MATERIALIZED (SELECT manual_id, lower(text) AS text FROM lines),
+            words AS MATERIALIZED (SELECT p_name AS term_id, lower(p_name) AS w, min(p_partkey) % 2 = 0 AS any_maker FROM part GROUP BY ALL),
+            makers AS MATERIALIZED (SELECT s_suppkey AS manual_id, CASE WHEN s_suppkey % 10 = 0 THEN '' ELSE n_name END AS maker FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+            SELECT manual_id, term_id, CAST(sum((length(text) - length(replace(text, w, ''))) // length(w)) AS BIGINT) AS hits, CAST(1 AS INT) AS n_wordings FROM low JOIN makers USING (manual_id) JOIN words ON contains(text, w) AND (any_maker OR maker = '' OR lower(maker) = 'brazil') GROUP BY ALL
         """,
         "outline_rows": f"WITH {marks} SELECT manual_id, seq, title, level, page_index FROM marks WHERE seq % 4 > 0",
         "rect_pages": f"WITH {rects} SELECT manual_id, page, rect_no FROM rects WHERE page >= 3 AND page < 9",

@@ -1,4 +1,4 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands find candidates, each is verified on its shingles."""
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash links, and MinHash bands for what they miss, find candidates; each is verified on its shingles."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm import simhash
 from docloom.llm.common import components, cut, discard, with_least
 
 SHINGLE = 5
@@ -19,8 +20,8 @@ SEED = 42
 PERCENT = 80
 #: A pair at the limit shares none of the bands with a chance of (1 - 0.8 ** 4) ** 20, about 3 in 100,000.
 BANDS, ROWS = 20, 4
-#: Of the BANDS * ROWS minima so many agree at least in a pair worth verifying; 64 are expected at the limit, and fewer than 44 have a chance below 1 in 1,000,000.
-AGREE = 44
+#: Up to this many members of a bucket are compared each with each.
+FEW = 16
 _CHUNK = 1 << 10
 _RNG = np.random.default_rng(SEED)
 _A = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,18 +58,25 @@ def minima(own: np.ndarray) -> np.ndarray:
 def _prints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, low = np.empty(b.num_rows, np.uint64), np.empty((b.num_rows, BANDS * ROWS), np.uint64)
+            nodes, fps, low = np.empty(b.num_rows, np.uint64), np.empty(b.num_rows, np.uint64), np.empty((b.num_rows, BANDS * ROWS), np.uint64)
             for k, x in enumerate(b.column(1)):
-                own = shingles(x.as_py())
-                nodes[k], low[k] = node_of(own), minima(own)
+                text = x.as_py()
+                own = shingles(text)
+                nodes[k], fps[k], low[k] = node_of(own), simhash.simhash(text), minima(own)
             low >>= np.uint64(8)
             bands = (low.reshape(-1, BANDS, ROWS) * _MIX).sum(axis=2, dtype=np.uint64)
             bands ^= bands >> np.uint64(29)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel().view(np.int64)))
-            sketch = pa.array([row.tobytes() for row in (low & np.uint64(255)).astype(np.uint8)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(nodes.view(np.int64)), lists, sketch], ["doc_id", "h", "node", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(nodes.view(np.int64)), pa.array(fps.view(np.int64)), lists], ["doc_id", "h", "node", "fp", "bands"])
+
+    return docs.mapInArrow(run, "doc_id long, h long, node long, fp long, bands array<long>")
 
-    return docs.mapInArrow(run, "doc_id long, h long, node long, bands array<long>, sketch binary")
+
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect what SimHash links: nodes (node, fp) of one fingerprint with the smallest, and the links between fingerprints."""
+    least = cut(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "fingerprints")
+    alike = nodes.join(least, "fp").filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    return simhash.links(least).select("a", "b").unionByName(alike)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -91,17 +99,91 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("n", shared).filter(f"100 * n >= {percent} * (size(x) + size(y) - n)").select("a", "b")
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket's members of different classes whose minima agree often enough."""
-    for batch in batches:
-        for nodes, roots, sketches in zip(*(batch.column(k) for k in range(3)), strict=True):
-            node, root = (x.values.to_numpy(zero_copy_only=False) for x in (nodes, roots))
-            sk = np.frombuffer(b"".join(sketches.as_py()), np.uint8).reshape(len(node), -1)
-            step = max(1, (1 << 25) // sk.size)
-            for at in range(0, len(node), step):
-                near = (sk[at : at + step, None, :] == sk[None, :, :]).sum(axis=2, dtype=np.int32) >= AGREE
-                i, j = np.nonzero(near & (root[at : at + step, None] < root[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(node[at + i]), pa.array(node[j])], ["a", "b"])
+def _shared(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    n = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * n >= percent * (len(x) + len(y) - n)
+
+
+def forest(nodes: list[int], roots: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Verified links (node, node) that connect what all links between members of different roots connect: fewer than there are roots.
+
+    A prefix filter, exact: two sets that share enough also share one of their rarest shingles, at places that their sizes bound. So members whose own
+    edits are too many to link with anything meet nothing, and members that are connected already are passed over together.
+    """
+    up = {r: r for r in roots}
+
+    def find(r: int) -> int:
+        while up[r] != r:
+            up[r] = up[up[r]]
+            r = up[r]
+        return r
+
+    out: list[tuple[int, int]] = []
+    need = lambda m, n: -(-percent * (m + n) // (100 + percent))
+    order = sorted((k for k in range(len(nodes)) if len(sets[k])), key=lambda k: len(sets[k]))
+
+    def link(x: int, y: int) -> bool:
+        if 100 * len(sets[y]) < percent * len(sets[x]) or not _shared(sets[x], sets[y], percent):
+            return False
+        up[find(roots[x])] = find(roots[y])
+        out.append((nodes[x], nodes[y]))
+        return True
+
+    if len(nodes) <= FEW:
+        for x, y in itertools.combinations(reversed(order), 2):
+            if find(roots[x]) != find(roots[y]):
+                link(x, y)
+        return out
+    _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    ends = np.cumsum([len(x) for x in sets])
+    #: Of a shingle: [a member's root, the members of that root with their places], smaller sets first.
+    met: dict[int, list[tuple[int, list[tuple[int, int]]]]] = {}
+    for x in order:
+        size = len(sets[x])
+        least = -(-percent * size // 100)
+        first = size - least + 1
+        own = rank[at[ends[x] - size : ends[x]]]
+        own = np.sort(np.partition(own, first - 1)[:first]).tolist()
+        tried: set[int] = set()
+        for i, token in enumerate(own):
+            if i > size - need(size, least):
+                break
+            for root, members in met.get(token, ()):
+                if find(root) == find(roots[x]) or i > size - need(size, max(least, len(sets[members[0][0]]))):
+                    continue
+                for y, j in members:
+                    other = len(sets[y])
+                    if y in tried or other < least or max(i - size, j - other) > -need(size, other):
+                        continue
+                    tried.add(y)
+                    if link(x, y):
+                        break
+        for i, token in enumerate(own[: size - need(size, size) + 1]):
+            lists = met.setdefault(token, [])
+            mine = next((m for r, m in lists if find(r) == find(roots[x])), None)
+            if mine is None:
+                lists.append((roots[x], mine := []))
+            mine.append((x, i))
+    return out
+
+
+def _across(percent: int):
+    """Links between members of different classes of a bucket; its rows (c, key, node, root, own) follow one another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                own, off = b.column(4).values.to_numpy(zero_copy_only=False), b.column(4).offsets.to_numpy()
+                yield from zip(*(b.column(k).to_pylist() for k in range(4)), (own[i:j] for i, j in itertools.pairwise(off)), strict=True)
+
+        for _, members in itertools.groupby(rows(), lambda r: r[:2]):
+            _, _, nodes, roots, sets = zip(*members, strict=True)
+            if found := forest(list(nodes), list(roots), list(sets), percent):
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
 
 
 def _classed(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
@@ -109,30 +191,28 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text")).withColumn("h", text_hash("text"))
     prints = cut(_prints(base), "minima")
     own = F.struct(F.col("doc_id").isNull().alias("bare"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")
-    distinct = cut(prints.groupBy("node").agg(F.min(own).alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+    distinct = cut(prints.groupBy("node").agg(F.min(own).alias("rep"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
     keys = distinct.select("node", F.posexplode("bands").alias("c", "key"))
     buckets_ = cut(keys.groupBy("c", "key").agg(F.count("*").alias("n"), F.min("node").alias("low")).filter("n > 1"), "buckets")
     shared = cut(keys.join(buckets_, ["c", "key"]), "shared")
-    reps = distinct.join(shared.select("node").distinct(), "node", "left_semi").select("rep.*")
+    linked = cut(fingerprint_pairs(distinct.select("node", "fp")), "linked")
+    wanted = shared.select("node").union(linked.select("a")).union(linked.select("b")).distinct()
+    reps = distinct.join(wanted, "node", "left_semi").select("rep.*")
     same = (F.coalesce(base["doc_id"], F.lit(0)) == reps["id"]) & (base["doc_id"].isNull() == reps["bare"]) & (base["h"] == reps["h"])
     sets = cut(_sets(base.join(reps.hint("merge"), same, "left_semi").select("doc_id", "text")).groupBy("node").agg(F.first("own").alias("own")), "sets")
 
-    stars = cut(_verified(shared.filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), sets, percent), "stars")
+    lows = shared.filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    stars = cut(_verified(linked.unionByName(lows).distinct(), sets, percent), "stars")
     roots = components(stars)
     rooted = cut(
         shared.filter("n > 2").join(roots, "node", "left").select("c", "key", "node", F.coalesce("root", "node").alias("root")), "rooted"
     )
     apart = rooted.groupBy("c", "key").agg(F.min("root").alias("m"), F.max("root").alias("x")).filter("m <> x").select("c", "key")
-    buckets = (
-        rooted.join(apart, ["c", "key"])
-        .join(distinct.select("node", "sketch"), "node")
-        .groupBy("c", "key")
-        .agg(F.collect_list(F.struct("node", "root", "sketch")).alias("m"))
-        .select("m.node", "m.root", "m.sketch")
-    )
-    across = cut(buckets.mapInArrow(_across, "a long, b long").distinct(), "across")
-    ends = components(stars.unionByName(_verified(across, sets, percent)))
-    for done in (buckets_, shared, sets, stars, rooted, across):
+    # Sets are sent to their buckets, sorted, and links are verified there: no pairs are formed.
+    buckets = rooted.join(apart, ["c", "key"]).join(sets, "node").select("c", "key", "node", "root", "own").repartition("c", "key").sortWithinPartitions("c", "key")
+    across = cut(buckets.mapInArrow(_across(percent), "a long, b long").distinct(), "across")
+    ends = components(stars.unionByName(across))
+    for done in (buckets_, shared, linked, sets, stars, rooted, across):
         discard(done)
     classes = distinct.join(ends, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     named = with_least(classes, "root", "rep", "first").select("node", "first")
@@ -148,9 +228,10 @@ def text_hash(text_col: str) -> Column:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Rows (doc_id, component_id): the classes of documents linked by a similarity of percent or more.
 
-    Documents with equal shingles are one node. Nodes that share a band are a bucket, whose
-    members are verified against one of them; then only members of classes that are still apart are compared
-    with each other, so a group of near copies costs no pairs. component_id is the smallest doc_id reachable.
+    Documents with equal shingles are one node. Candidates are the links of the SimHash operator and, as pairs at 80 percent mostly differ in more bits
+    than it allows, nodes that share a MinHash band; each is verified. Nodes that share a band are a bucket, whose
+    members are verified against one of them; then only members of classes that are still apart are looked for
+    by a prefix filter, so a group of near copies costs no pairs. component_id is the smallest doc_id reachable.
 
     A null or empty text and one of white space have no shingles and are alike; a very long text is one set of 8 bytes a shingle. A row without an id
     belongs to its class like any other, but gives it no name: a class of such rows only has a null component_id. A repeated id yields its rows again, each by

@@ -79,3 +79,47 @@ def test_stages_on_awkward_rows(spark):
         assert kept and stage(spark, df.limit(0), SF).count() == 0, name
         if name == "language_id":
             assert {r.lang for r in kept} == {"en"} and not {r.doc_id for r in kept} & {3, 4}
+
+
+def near_copies(n, seed=3):
+    """One text with one to eight of its words replaced by others, as in a large group of near copies."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(n):
+        w = list(base)
+        for at in rng.choice(150, rng.integers(1, 9), replace=False):
+            w[at] = f"own{k}-{at}" if rng.random() < 0.8 else "common"
+        rows.append((k, " ".join(w)))
+    return rows
+
+
+def test_group_of_near_copies_costs_no_pairs():
+    """Links found within a bucket are fewer than its members and connect what all pairs connect."""
+    for n in (10, 300):
+        texts = [t for _, t in near_copies(n)]
+        sets = [minhash.shingles(t.encode()).view(np.int64) for t in texts]
+        links = minhash.forest(list(range(n)), list(range(n)), sets, 80)
+        assert 0 < len(links) < n
+        label = list(range(n))
+        while True:
+            new = list(label)
+            for a, b in links:
+                new[a] = new[b] = min(new[a], new[b])
+            if new == label:
+                break
+            label = new
+        want = kept(list(enumerate(texts)))
+        assert {k for k in range(n) if label[k] == k} == want and 1 < len(want) < n
+
+
+def test_stage_on_a_group_of_near_copies(spark):
+    rows = near_copies(200)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, SF).collect()} == kept(rows)
+
+
+def test_stage_takes_its_candidates_from_simhash_first(spark):
+    """Texts that share no band, as their minima are given as different, are linked by their fingerprints."""
+    df = spark.createDataFrame([(5, 7), (3, 7), (9, 7 ^ 0b1111), (4, ~7)], "node long, fp long")
+    assert {tuple(sorted(r)) for r in minhash.fingerprint_pairs(df).collect()} == {(3, 5), (3, 9)}
